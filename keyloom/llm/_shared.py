@@ -96,3 +96,9 @@ def running_start(df: DataFrame, order: str, amount: str, out: str, block: int =
     sums = sums.select("_block", (F.sum("_all").over(Window.orderBy("_block")) - F.col("_all")).alias("_base"))
     inner = F.sum(amount).over(Window.partitionBy("_block").orderBy(order)) - F.col(amount)
     return df.withColumn("_block", b).join(sums, "_block").withColumn(out, F.col("_base") + inner).drop("_block", "_base")
+
+
+def bounded_batches(spark: SparkSession, rows: int = 1000, size: str = "8m") -> None:
+    """Whole texts go to Python in Arrow batches; keep these small, since one text can be large."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)

@@ -21,6 +21,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._shared import bounded_batches
+
 WIDTH = 5
 THRESHOLD = 0.8
 BLOCK = 20_000  # items searched for in one pass over the documents
@@ -99,6 +101,7 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     and wordless texts and items match nothing. Repeated rows and repeated items each give their own result rows. The
     items are a stated query set, searched in blocks of `block`, each sent to every executor; their number is not bounded."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     schema = f"{id_col} long, {item_col} long, n_shared long, n_item long, containment double"
     found = None

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._shared import bounded_batches
+
 PER_LANGUAGE = 900  # training texts of a language at most, about; chosen by a hash of the id
 SEGMENT = 40  # words of a chain; longer texts are cut into several
 SPACE = 1 << 18
@@ -204,6 +206,7 @@ def identify(docs: DataFrame, model: Crf, text_col: str = "text") -> DataFrame:
     """All rows and columns of `docs`, and lang_pred and score (replacing columns of these names).
 
     Null texts and texts without letters are `und` with score 0. Every word of a text counts."""
+    bounded_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
 

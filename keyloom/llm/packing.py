@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import materialize
+from ._shared import bounded_batches, materialize
 from .tokens import encoder, public_path
 
 CAPACITY = 2048
@@ -111,6 +111,7 @@ def tokenized_pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer: str
                 yield pa.RecordBatch.from_arrays(arrays, ["id", "piece", "start", "length", "ids", "part", "rank"])
                 lo = hi
 
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "id long, piece int, start long, length long, ids binary, part long, rank long")
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import materialize, text_bytes
+from ._shared import bounded_batches, materialize, text_bytes
 
 LENGTH = 400
 ANCHOR = 64
@@ -244,6 +244,7 @@ def _same_row(a: DataFrame, b: DataFrame):
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, anchor: int = ANCHOR, hot: int = HOT):
     """(rows, spans, copied): `rows` is (id, tag, text), tag telling rows of one id apart; `spans` (id, tag, start, end) are
     covered by repeated windows; `copied` (id, tag, first) lists rows whose whole text occurs in several rows."""
+    bounded_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("tag"), text.alias("text"))
     marks = materialize(rows.where(F.octet_length("text") >= length).select("id", "tag", F.md5("text").alias("mark")), "text-marks")

@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import materialize, shuffle_partitions
+from ._shared import bounded_batches, materialize, shuffle_partitions
 from .tokens import encoder, public_path
 
 MAGIC = b"KLWM0001"
@@ -162,6 +162,7 @@ def write_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     spark = docs.sparkSession
+    bounded_batches(spark)
     dealt = rows.repartitionByRange(shuffle_partitions(spark), "id").sortWithinPartitions("id", "text")
     shards = dealt.mapInArrow(run, "part long, seq long, n_docs long, n_tokens long, data binary")
     return materialize(shards, "wavelet", maxRecordsPerFile=1)
