@@ -12,8 +12,9 @@ neighbours. Over whole documents it would take as many passes as the longest doc
 3. Pieces of a group are aligned at the anchor, so equal windows start in the same column. Column by column the order
    and the common prefixes are updated; a window repeats where a neighbour shares `length` symbols or more.
 
-Exact copies of whole texts are counted first; one of each stands for all. A group above `hot` pieces is not loaded: its
-windows are counted by a 128-bit digest in an ordinary aggregate with map-side combining.
+Exact copies of whole texts are counted first; one of each stands for all. Equal pieces of one text are combined before
+they leave it. A group that more than `hot` texts share is not loaded: its windows are counted by a 128-bit digest in an
+ordinary aggregate with map-side combining.
 """
 
 from __future__ import annotations
@@ -25,11 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import bounded_batches, materialize, text_bytes
+from ._shared import bounded_batches, materialize, ragged, text_bytes
 
 LENGTH = 400
 ANCHOR = 64
-HOT = 50_000  # most pieces of one anchor that a task sorts
+HOT = 60_000  # most texts with one anchor gram whose pieces a task sorts
 PIECES = 12_000  # pieces sorted together
 SEGMENT = 1 << 22  # windows of a text looked at together
 _POS = np.uint64((1 << 24) - 1)
@@ -78,14 +79,18 @@ def anchors(x: np.ndarray, ends: np.ndarray, length: int, k: int):
 
 
 def _anchor_rows(length: int, k: int):
-    names = ["id", "tag", "h", "lo", "at", "n"]
+    names = ["id", "tag", "h", "lo", "at", "n", "first"]
 
     def flush(ids, tags, parts, bases):
         ends = np.cumsum([len(p) for p in parts])
         text, h, lo, at, n = anchors(np.frombuffer(b"".join(parts), np.uint8), ends, length, k)
         if len(text):
             lo = lo - np.concatenate(([0], ends[:-1]))[text] + np.array(bases)[text]
-            yield pa.RecordBatch.from_arrays([pa.array(ids).take(pa.array(text)).cast(pa.int64()), pa.array(tags).take(pa.array(text)), pa.array(h), pa.array(lo), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32))], names)
+            order = np.lexsort((h, text))
+            first = np.ones(len(h), np.int32)  # 0 where the text had the gram before
+            first[order[1:]] = (h[order[1:]] != h[order[:-1]]) | (text[order[1:]] != text[order[:-1]])
+            at_text = pa.array(text)
+            yield pa.RecordBatch.from_arrays([pa.array(ids).take(at_text).cast(pa.int64()), pa.array(tags).take(at_text), pa.array(h), pa.array(lo), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(first)], names)
 
     def run(batches):
         for batch in batches:
@@ -145,17 +150,23 @@ def _sorted_spans(length: int, most: int):
         body = table.column("body").combine_chunks()
         size = np.diff(np.frombuffer(body.buffers()[1], np.int32)[body.offset : body.offset + len(body) + 1]).astype(np.int64)
         flat = np.frombuffer(b"".join(body.to_pylist()), np.uint8)
-        h, at, n, lo = (table.column(c).to_numpy().astype(np.int64) for c in ("h", "at", "n", "lo"))
+        h, at, n = (table.column(c).to_numpy().astype(np.int64) for c in ("h", "at", "n"))
+        places = table.column("los").combine_chunks()
+        times = places.value_lengths().to_numpy().astype(np.int64)
+        los = places.flatten().to_numpy()
         group = np.concatenate(([0], np.cumsum(h[1:] != h[:-1])))
         found = repeated_windows(flat, np.cumsum(size) - size, size, group, at, n, length)
         piece = np.repeat(np.arange(len(n)), n)
-        start = np.arange(len(piece)) - np.repeat(np.cumsum(n) - n, n) + lo[piece]
+        found |= (times > 1)[piece]  # the piece stands elsewhere in its own text
+        start = np.arange(len(piece)) - np.repeat(np.cumsum(n) - n, n)
         hit = np.nonzero(found)[0]
         if len(hit):
             cut = np.nonzero((np.diff(hit) != 1) | (np.diff(piece[hit]) != 0))[0]
             a, b = hit[np.concatenate(([0], cut + 1))], hit[np.concatenate((cut, [len(hit) - 1]))]
-            rows = pa.array(piece[a])
-            yield pa.RecordBatch.from_arrays([table.column("id").combine_chunks().take(rows), table.column("tag").combine_chunks().take(rows), pa.array(start[a]), pa.array(start[b] + length)], ["id", "tag", "start", "end"])
+            run = np.repeat(np.arange(len(a)), times[piece[a]])  # once for each place of the piece
+            base = los[ragged((np.cumsum(times) - times)[piece[a]], times[piece[a]])]
+            rows = pa.array(piece[a][run])
+            yield pa.RecordBatch.from_arrays([table.column("id").combine_chunks().take(rows), table.column("tag").combine_chunks().take(rows), pa.array(base + start[a][run]), pa.array(base + start[b][run] + length)], ["id", "tag", "start", "end"])
 
     def run(batches):
         held: list[pa.RecordBatch] = []
@@ -179,10 +190,7 @@ def _sorted_spans(length: int, most: int):
 
 
 def _in_groups(table: pa.Table, h: np.ndarray, most: int, spans):
-    """Whole groups, about `most` pieces at a time, without those of a single piece."""
-    alike = h[1:] == h[:-1]
-    paired = np.concatenate(([False], alike)) | np.concatenate((alike, [False]))
-    table, h = table.filter(pa.array(paired)), h[paired]
+    """Whole groups, about `most` pieces at a time."""
     lo = 0
     while lo < len(h):
         hi = min(lo + most, len(h))
@@ -194,16 +202,18 @@ def _in_groups(table: pa.Table, h: np.ndarray, most: int, spans):
 
 
 def _cut(length: int):
-    """Rows of texts with their pieces' places: yields the pieces' bytes."""
+    """Rows of texts with their pieces' places: yields each distinct piece of a text with all its places (los)."""
 
     def run(batches):
         for batch in batches:
             out: list[list] = [[] for _ in range(7)]
             held = 0
             for i, tag, body, places in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), text_bytes(batch.column(2)), batch.column(3).to_pylist()):
+                pieces: dict[tuple, list[int]] = {}
                 for p in places:
-                    part = body[p["lo"] : p["lo"] + p["n"] - 1 + length]
-                    for column, value in zip(out, (p["h"], i, tag, p["lo"], p["at"], p["n"], part)):
+                    pieces.setdefault((p["h"], p["at"], body[p["lo"] : p["lo"] + p["n"] - 1 + length]), []).append(p["lo"])
+                for (h, at, part), los in pieces.items():
+                    for column, value in zip(out, (h, i, tag, sorted(los), at, len(part) - length + 1, part)):
                         column.append(value)
                     held += len(part)
                     if held > 4_000_000:
@@ -215,24 +225,27 @@ def _cut(length: int):
     return run
 
 
-_PIECE = "h long, id long, tag long, lo long, at int, n int, body binary"
+_PIECE = "h long, id long, tag long, los array<long>, at int, n int, body binary"
 
 
 def _piece_batch(out: list[list]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["h", "id", "tag", "lo", "at", "n", "body"])
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.int32(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["h", "id", "tag", "los", "at", "n", "body"])
 
 
 def _windows(length: int):
-    """Every window of a piece with its digest, for groups that no task should load."""
+    """Every distinct window of a text's hot pieces with its digest and its starts, for groups that no task should load."""
 
     def run(batches):
         for batch in batches:
             for row in range(batch.num_rows):
-                one = {c: batch.column(c)[row].as_py() for c in ("id", "tag", "lo", "n", "body")}
-                marks = [hashlib.blake2b(one["body"][s : s + length], digest_size=16).digest() for s in range(one["n"])]
-                start = np.arange(one["n"], dtype=np.int64) + one["lo"]
-                yield pa.RecordBatch.from_arrays([pa.array([one["id"]] * len(marks), pa.int64()), pa.array([one["tag"]] * len(marks), pa.int64()), pa.array(start), pa.array(marks)], ["id", "tag", "start", "mark"])
+                one = {c: batch.column(c)[row].as_py() for c in ("id", "tag", "los", "n", "body")}
+                marks: dict[bytes, list[int]] = {}
+                for s in range(one["n"]):
+                    marks.setdefault(hashlib.blake2b(one["body"][s : s + length], digest_size=16).digest(), []).extend(lo + s for lo in one["los"])
+                n = len(marks)
+                arrays = [pa.array([one[c]] * n, pa.int64()) for c in ("id", "tag")] + [pa.array(list(marks.values()), pa.list_(pa.int64())), pa.array(list(marks))]
+                yield pa.RecordBatch.from_arrays(arrays, ["id", "tag", "starts", "mark"])
 
     return run
 
@@ -252,23 +265,24 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     copied = materialize(
         marks.join(groups, "mark").select("id", "tag", F.struct("id", "tag").eqNullSafe(F.col("head")).alias("first")).distinct(), "copied"
     )
-    kind = "id long, tag long, h long, lo long, at int, n int"
+    kind = "id long, tag long, h long, lo long, at int, n int, first int"
     found = materialize(rows.mapInArrow(_anchor_rows(length, anchor), kind), "anchors")
-    repeated = found.groupBy("h").count().where("count > 1")
+    repeated = found.groupBy("h").agg(F.count("*").alias("n_all"), F.sum("first").alias("texts")).where("n_all > 1")
     others = copied.where(~F.col("first"))
     places = found.join(repeated, "h")
     places = places.join(others, _same_row(places, others), "left_anti")
-    by_row = places.groupBy("id", "tag").agg(F.collect_set(F.struct("h", "lo", "at", "n", "count")).alias("places"))
+    by_row = places.groupBy("id", "tag").agg(F.collect_set(F.struct("h", "lo", "at", "n", "texts")).alias("places"))
     cut = rows.join(by_row, _same_row(rows, by_row)).select(rows["id"], rows["tag"], "text", "places")
-    usual = cut.withColumn("places", F.filter("places", lambda p: p["count"] <= hot)).where(F.size("places") > 0)
+    usual = cut.withColumn("places", F.filter("places", lambda p: p["texts"] <= hot)).where(F.size("places") > 0)
     pieces = usual.mapInArrow(_cut(length), _PIECE).repartition("h").sortWithinPartitions("h")
     spans = pieces.mapInArrow(_sorted_spans(length, PIECES), "id long, tag long, start long, end long")
-    if not repeated.where(F.col("count") > hot).isEmpty():
-        big = cut.withColumn("places", F.filter("places", lambda p: p["count"] > hot)).where(F.size("places") > 0)
-        windows = big.mapInArrow(_cut(length), _PIECE).mapInArrow(_windows(length), "id long, tag long, start long, mark binary")
+    if not repeated.where(F.col("texts") > hot).isEmpty():
+        big = cut.withColumn("places", F.filter("places", lambda p: p["texts"] > hot)).where(F.size("places") > 0)
+        windows = big.mapInArrow(_cut(length), _PIECE).mapInArrow(_windows(length), "id long, tag long, starts array<long>, mark binary")
         windows = materialize(windows, "hot-windows")
-        twice = windows.groupBy("mark").count().where("count > 1").select("mark")
-        more = windows.join(twice, "mark").select("id", "tag", "start", (F.col("start") + length).alias("end"))
+        twice = windows.groupBy("mark").agg(F.sum(F.size("starts")).alias("n_all")).where("n_all > 1").select("mark")
+        more = windows.join(twice, "mark").select("id", "tag", F.explode("starts").alias("start"))
+        more = more.withColumn("end", F.col("start") + length)
         spans = spans.unionByName(more)
     return rows, spans, copied
 
