@@ -9,11 +9,29 @@ import os
 import re
 
 import numpy as np
+import regex
 
 from ._shared import ragged
 
-CACHE = 400_000  # most chunks a worker remembers
+CACHE = 1_000_000  # most chunks a worker remembers
 
+# The pre-tokenization patterns of the two kinds of files.
+_PIECES = {
+    "byte": r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+",
+    "word": r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+",
+}
+# Characters for which lower case and normal forms are the same in all libraries.
+_LATIN = re.compile("[\n\x20-\x7e\xa1-\u012f\u0131-\u017f]*")
+
+
+def _spelling() -> dict[int, str]:
+    """The characters that stand for bytes in byte-level vocabularies: printable ones for themselves, others from 256 up."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = (b for b in range(256) if b not in shown)
+    return {b: chr(b) for b in shown} | {b: chr(256 + n) for n, b in enumerate(others)}
+
+
+_SPELLING = _spelling()
 _BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 _BESIDE = re.compile(r"(?:^|\s) | (?:\s|$)")
 
@@ -22,7 +40,7 @@ class Encoder:
     """Encodes texts with a tokenizers file. `style` says where chunks end:
 
     - "byte": before a single space between two non-space characters (byte-level files that keep white space);
-    - "word": at spaces, tabs and line ends (files whose normalizer drops white space)."""
+    - "word": at spaces and line ends (files whose normalizer drops white space)."""
 
     def __init__(self, path: str, style: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -30,6 +48,9 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # special tokens' strings in a text are ordinary text
+        self.merge = self.tokenizer.model.tokenize
+        self.pieces = regex.compile(_PIECES[style]).findall
+        self.short: dict[str, list[int]] = {}
         self.style = style
         self._forget()
 
@@ -37,42 +58,59 @@ class Encoder:
         self.index: dict[str, int] = {}
         self.starts, self.sizes, self.ids, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), np.zeros(1 << 18, np.uint32), 0
 
-    def _learn(self, chunks: list[str]):
-        for lo in range(0, len(chunks), 4096):
-            some = chunks[lo : lo + 4096]
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
-            sizes = np.fromiter(map(len, found), np.int32, len(found))
-            flat = np.fromiter((i for ids in found for i in ids), np.uint32, int(sizes.sum()))
-            n = len(self.index)
-            while n + len(some) > len(self.starts):
-                self.starts, self.sizes = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.sizes, 2 * len(self.sizes))
-            while self.used + len(flat) > len(self.ids):
-                self.ids = np.resize(self.ids, 2 * len(self.ids))
-            self.sizes[n : n + len(some)] = sizes
-            self.starts[n : n + len(some)] = self.used + np.cumsum(sizes) - sizes
-            self.ids[self.used : self.used + len(flat)] = flat
-            self.used += len(flat)
-            self.index.update(zip(some, range(n, n + len(some))))
-
-    def _chunks(self, text: str) -> list[str]:
+    def _ids(self, chunk: str) -> list[int]:
+        """A chunk's ids. Latin chunks go piece by piece to the file's merge model; all others through the whole tokenizer."""
+        if not _LATIN.fullmatch(chunk) or "<|" in chunk:
+            return self.tokenizer.encode(chunk, add_special_tokens=False).ids
+        out: list[int] = []
+        for piece in self.pieces(chunk.lower() if self.style == "word" else chunk):
+            ids = self.short.get(piece)
+            if ids is None:
+                spelled = piece.encode().decode("latin-1").translate(_SPELLING)
+                ids = [t.id for t in self.merge(spelled)]
+                if len(piece) <= 5:
+                    self.short[piece] = ids
+            out += ids
+        return out
+
+    def _learn(self, keys: list):
+        if self.style == "byte":
+            found = [self._ids(k[0] if isinstance(k, tuple) else " " + k) for k in keys]
+        else:
+            found = [self._ids(k) for k in keys]
+        sizes = np.fromiter(map(len, found), np.int32, len(found))
+        flat = np.fromiter((i for ids in found for i in ids), np.uint32, int(sizes.sum()))
+        n = len(self.index)
+        while n + len(keys) > len(self.starts):
+            self.starts, self.sizes = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.sizes, 2 * len(self.sizes))
+        while self.used + len(flat) > len(self.ids):
+            self.ids = np.resize(self.ids, 2 * len(self.ids))
+        self.sizes[n : n + len(keys)] = sizes
+        self.starts[n : n + len(keys)] = self.used + np.cumsum(sizes) - sizes
+        self.ids[self.used : self.used + len(flat)] = flat
+        self.used += len(flat)
+        self.index.update(zip(keys, range(n, n + len(keys))))
+
+    def _keys(self, text: str) -> list:
+        """A text's chunks; those of "byte" files are kept without their leading space, and the first as a tuple."""
         if self.style == "word":
-            return [c for c in text.replace("\n", " ").replace("\t", " ").split(" ") if c]
+            return text.replace("\n", " ").split(" ")
         if not text:
             return []
         parts = _BETWEEN.split(text) if _BESIDE.search(text) else text.split(" ")
-        parts[1:] = [" " + p for p in parts[1:]]
+        parts[0] = (parts[0],)
         return parts
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other (uint32), and each text's number of ids."""
         if len(self.index) > CACHE:
             self._forget()
-        every: list[str] = []
+        every: list = []
         counts = []
         for t in texts:
-            chunks = self._chunks(t)
-            counts.append(len(chunks))
-            every += chunks
+            keys = self._keys(t)
+            counts.append(len(keys))
+            every += keys
         try:
             at = np.fromiter(map(self.index.__getitem__, every), np.int64, len(every))
         except KeyError:

@@ -31,7 +31,7 @@ def dump(ids: np.ndarray, docs: np.ndarray, lengths: np.ndarray) -> bytes:
     out = [MAGIC, struct.pack("<QQ", len(ids), planes)]
     x = ids.astype(np.uint16 if planes <= 16 else np.uint32)
     for bit in range(planes - 1, -1, -1):
-        one = (x >> x.dtype.type(bit)) & x.dtype.type(1) == 1
+        one = (x & x.dtype.type(1 << bit)) != 0
         zeros = x[~one]
         body = squeeze(np.packbits(one, bitorder="little").tobytes())
         out += [struct.pack("<QQ", len(zeros), len(body)), body]
