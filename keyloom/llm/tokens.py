@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
 import numpy as np
 import regex
@@ -14,6 +15,7 @@ import regex
 from ._shared import ragged
 
 CACHE = 1_000_000  # most chunks a worker remembers
+PIECES = 700_000  # most pieces of chunks
 
 # The pre-tokenization patterns of the two kinds of files.
 _PIECES = {
@@ -33,6 +35,7 @@ def _spelling() -> dict[int, str]:
 
 _SPELLING = _spelling()
 _BETWEEN = re.compile(r"(?<=\S) (?=\S)")
+_RARE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
 _BESIDE = re.compile(r"(?:^|\s) | (?:\s|$)")
 
 
@@ -50,36 +53,39 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True  # special tokens' strings in a text are ordinary text
         self.merge = self.tokenizer.model.tokenize
         self.pieces = regex.compile(_PIECES[style]).findall
-        self.short: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}
+        if hasattr(self.tokenizer.model, "_resize_cache"):
+            self.tokenizer.model._resize_cache(0)  # chunks and pieces are remembered here
+        self.kind = np.dtype(np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32)
         self.style = style
         self._forget()
 
     def _forget(self):
         self.index: dict[str, int] = {}
-        self.starts, self.sizes, self.ids, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), np.zeros(1 << 18, np.uint32), 0
+        self.starts, self.sizes, self.ids, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), np.zeros(1 << 18, self.kind), 0
 
-    def _ids(self, chunk: str) -> list[int]:
+    def _ids(self, chunk: str) -> bytes:
         """A chunk's ids. Latin chunks go piece by piece to the file's merge model; all others through the whole tokenizer."""
         if not _LATIN.fullmatch(chunk) or "<|" in chunk:
-            return self.tokenizer.encode(chunk, add_special_tokens=False).ids
-        out: list[int] = []
+            return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, self.kind).tobytes()
+        known, out = self.known, []
         for piece in self.pieces(chunk.lower() if self.style == "word" else chunk):
-            ids = self.short.get(piece)
+            ids = known.get(piece)
             if ids is None:
                 spelled = piece.encode().decode("latin-1").translate(_SPELLING)
-                ids = [t.id for t in self.merge(spelled)]
-                if len(piece) <= 5:
-                    self.short[piece] = ids
-            out += ids
-        return out
+                ids = known[piece] = array(self.kind.char, [t.id for t in self.merge(spelled)]).tobytes()
+            out.append(ids)
+        return b"".join(out)
 
     def _learn(self, keys: list):
+        if len(self.known) > PIECES:
+            self.known.clear()
         if self.style == "byte":
             found = [self._ids(k[0] if isinstance(k, tuple) else " " + k) for k in keys]
         else:
             found = [self._ids(k) for k in keys]
-        sizes = np.fromiter(map(len, found), np.int32, len(found))
-        flat = np.fromiter((i for ids in found for i in ids), np.uint32, int(sizes.sum()))
+        sizes = np.fromiter(map(len, found), np.int32, len(found)) // self.kind.itemsize
+        flat = np.frombuffer(b"".join(found), self.kind)
         n = len(self.index)
         while n + len(keys) > len(self.starts):
             self.starts, self.sizes = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.sizes, 2 * len(self.sizes))
@@ -97,12 +103,13 @@ class Encoder:
             return text.replace("\n", " ").split(" ")
         if not text:
             return []
-        parts = _BETWEEN.split(text) if _BESIDE.search(text) else text.split(" ")
+        odd = _BESIDE.search(text) if not text.isascii() or any(map(text.__contains__, _RARE)) else text[0] == " " or text[-1] == " " or "  " in text or " \n" in text or "\n " in text
+        parts = _BETWEEN.split(text) if odd else text.split(" ")
         parts[0] = (parts[0],)
         return parts
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids one after the other (uint32), and each text's number of ids."""
+        """All ids one after the other (unsigned 16 or 32 bits), and each text's number of ids."""
         if len(self.index) > CACHE:
             self._forget()
         every: list = []

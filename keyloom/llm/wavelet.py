@@ -32,10 +32,10 @@ def dump(ids: np.ndarray, docs: np.ndarray, lengths: np.ndarray) -> bytes:
     x = ids.astype(np.uint16 if planes <= 16 else np.uint32)
     for bit in range(planes - 1, -1, -1):
         one = (x & x.dtype.type(1 << bit)) != 0
-        zeros = x[~one]
+        zeros = x.take(np.flatnonzero(~one))  # faster than masks on mixed bits
         body = squeeze(np.packbits(one, bitorder="little").tobytes())
         out += [struct.pack("<QQ", len(zeros), len(body)), body]
-        x = np.concatenate((zeros, x[one]))
+        x = np.concatenate((zeros, x.take(np.flatnonzero(one))))
     for column in (docs.astype("<i8"), lengths.astype("<i8")):
         body = squeeze(column.tobytes())
         out += [struct.pack("<QQ", len(column), len(body)), body]
@@ -118,8 +118,8 @@ class WaveletMatrix:
         for p in range(self.planes - 1, -1, -1):
             one = np.unpackbits(self.bits[p], count=self.n, bitorder="little").view(bool)
             y = np.empty_like(x)
-            y[~one] = x[: self.zeros[p]]
-            y[one] = x[self.zeros[p] :] | x.dtype.type(1 << (self.planes - 1 - p))
+            y[np.flatnonzero(~one)] = x[: self.zeros[p]]
+            y[np.flatnonzero(one)] = x[self.zeros[p] :] | x.dtype.type(1 << (self.planes - 1 - p))
             x = y
         return x.astype(np.uint32)
 
