@@ -5,13 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, packing, simhash, suffix_dedup, wavelet
+from . import decontaminate, language, licenses, media, packing, quality, sentence_dedup, simhash, suffix_dedup, wavelet
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents have no paths: source, then thousands, then twenties of doc_id stand for directories."""
+    path = F.concat_ws("/", F.col("source"), F.floor(F.col("doc_id") / 1000), F.floor(F.col("doc_id") / 20), F.col("doc_id"))
+    return licenses.scan(_table(spark, sf_dir, "documents"), path)
+
+
 def op2_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -21,6 +27,14 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op4_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op5_png_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.digests(media.read_media(media.write_media(_table(spark, sf_dir, "documents"))))
+
+
 def op6_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -29,6 +43,11 @@ def op7_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.read_documents(wavelet.write_shards(_table(spark, sf_dir, "documents")))
 
 
+def op8_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = sentence_dedup.drop_repeated_spans(_table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_sentences", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -41,10 +60,14 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_license_scan": op1_license_scan,
     "op2_benchmark_leaks": op2_benchmark_leaks,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_kneser_ney_quality": op4_kneser_ney_quality,
+    "op5_png_media": op5_png_media,
     "op6_simhash_components": op6_simhash_components,
     "op7_wavelet_tokens": op7_wavelet_tokens,
+    "op8_sentence_spans": op8_sentence_spans,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_language_id": op10_language_id,
 }
