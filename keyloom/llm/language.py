@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ._shared import bounded_batches
 
-PER_LANGUAGE = 900  # training texts of a language at most, about; chosen by a hash of the id
+PER_LANGUAGE = 400  # training texts of a language at most, about; chosen by a hash of the id
 SEGMENT = 40  # words of a chain; longer texts are cut into several
 SPACE = 1 << 18
 LEXICON = 300  # words in a language's lexicon
@@ -129,7 +129,7 @@ def forward_backward(emit: np.ndarray, inside: np.ndarray, link: np.ndarray) ->
     return odds, pairs
 
 
-def train(texts: list[str], langs: list[str], rounds: int = 20, chains_most: int = 10_000, seed: int = 5) -> Crf:
+def train(texts: list[str], langs: list[str], rounds: int = 20, chains_most: int = 8_000, seed: int = 5) -> Crf:
     """Fits a model by Adam steps on the penalised likelihood. A quarter of the chains join halves of two texts, so that
     transitions between languages are seen. Texts without letters teach nothing."""
     labels = sorted(set(langs))
@@ -156,9 +156,10 @@ def train(texts: list[str], langs: list[str], rounds: int = 20, chains_most: int
     mixed[:, half:] = np.where((mixed[:, half - 1] >= 0)[:, None], np.roll(at, len(at) // 3, 0)[: len(mixed), :half], mixed[:, half:])
     inside = at >= 0
     word, truth = np.where(inside, codes[at], 0), np.where(inside, gold[at], 0)
-    lists = [features(w, lexicons) for w in vocabulary]
+    lists = [np.array(features(w, lexicons), np.int32) for w in vocabulary]
     sizes = np.array([len(x) for x in lists])
-    flat, owner, edges = np.concatenate([np.array(x) for x in lists]), np.repeat(np.arange(len(lists)), sizes), np.cumsum(sizes) - sizes
+    flat, owner, edges = np.concatenate(lists), np.repeat(np.arange(len(lists), dtype=np.int32), sizes), np.cumsum(sizes) - sizes
+    del lists, frame, share, listed
 
     weight, link = np.zeros((SPACE, k)), np.zeros((k, k))
     seen = np.zeros((k, k))
@@ -168,12 +169,12 @@ def train(texts: list[str], langs: list[str], rounds: int = 20, chains_most: int
     total = inside.sum()
     state = [np.zeros_like(weight), np.zeros_like(weight), np.zeros_like(link), np.zeros_like(link)]
     for step in range(1, rounds + 1):
-        emit = np.add.reduceat(weight[flat], edges, axis=0)
+        emit = np.stack([np.add.reduceat(weight[:, c][flat], edges) for c in range(k)], 1)
         odds, pairs = forward_backward(emit[word], inside, link)
         error = -odds
         np.put_along_axis(error, truth[:, :, None], np.take_along_axis(error, truth[:, :, None], 2) + 1, 2)
         error *= inside[:, :, None]
-        by_word = np.stack([np.bincount(word.ravel(), error[:, :, c].ravel(), len(lists)) for c in range(k)], 1)
+        by_word = np.stack([np.bincount(word.ravel(), error[:, :, c].ravel(), len(sizes)) for c in range(k)], 1)
         up = np.stack([np.bincount(flat, by_word[owner, c], SPACE) for c in range(k)], 1) / total - 1e-7 * weight
         for grad, value, m, v in ((up, weight, state[0], state[1]), ((seen - pairs) / total - 1e-5 * link, link, state[2], state[3])):
             m += 0.1 * (grad - m)

@@ -14,8 +14,8 @@ import regex
 
 from ._shared import ragged
 
-CACHE = 1_000_000  # most chunks a worker remembers
-PIECES = 700_000  # most pieces of chunks
+CACHE = 800_000  # most chunks a worker remembers
+PIECES = 250_000  # most pieces of chunks
 
 # The pre-tokenization patterns of the two kinds of files.
 _PIECES = {
@@ -64,26 +64,34 @@ class Encoder:
         self.index: dict[str, int] = {}
         self.starts, self.sizes, self.ids, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), np.zeros(1 << 18, self.kind), 0
 
-    def _ids(self, chunk: str) -> bytes:
-        """A chunk's ids. Latin chunks go piece by piece to the file's merge model; all others through the whole tokenizer."""
-        if not _LATIN.fullmatch(chunk) or "<|" in chunk:
-            return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, self.kind).tobytes()
-        known, out = self.known, []
-        for piece in self.pieces(chunk.lower() if self.style == "word" else chunk):
-            ids = known.get(piece)
-            if ids is None:
-                spelled = piece.encode().decode("latin-1").translate(_SPELLING)
-                ids = known[piece] = array(self.kind.char, [t.id for t in self.merge(spelled)]).tobytes()
-            out.append(ids)
-        return b"".join(out)
+    def _split(self, chunk: str) -> list[str] | None:
+        """The pre-tokenizer's pieces of a Latin chunk; None for others, which go through the whole tokenizer."""
+        body = chunk[1:] if chunk[:1] == " " else chunk
+        if body.isascii():
+            if not (body.isprintable() or body.replace("\n", "").isprintable()) or "<|" in body:
+                return None
+        elif not _LATIN.fullmatch(body) or "<|" in body:
+            return None
+        if self.style == "word":
+            chunk = body = body.lower()
+        return [chunk] if body.isalpha() else self.pieces(chunk)
+
+    def _merge(self, piece: str) -> bytes:
+        """The ids of a new piece, from the file's merge model alone."""
+        spelled = piece if piece.isascii() and piece[0] != " " and "\n" not in piece else piece.encode().decode("latin-1").translate(_SPELLING)
+        ids = self.known[piece] = array(self.kind.char, [t.id for t in self.merge(spelled)]).tobytes()
+        return ids
 
     def _learn(self, keys: list):
         if len(self.known) > PIECES:
             self.known.clear()
-        if self.style == "byte":
-            found = [self._ids(k[0] if isinstance(k, tuple) else " " + k) for k in keys]
-        else:
-            found = [self._ids(k) for k in keys]
+        chunks = [k[0] if isinstance(k, tuple) else " " + k for k in keys] if self.style == "byte" else keys
+        split = [self._split(c) for c in chunks]
+        known, merge, whole = self.known, self._merge, self.tokenizer.encode
+        found = [
+            np.array(whole(c, add_special_tokens=False).ids, self.kind).tobytes() if pieces is None else b"".join([known.get(p) or merge(p) for p in pieces])
+            for c, pieces in zip(chunks, split)
+        ]
         sizes = np.fromiter(map(len, found), np.int32, len(found)) // self.kind.itemsize
         flat = np.frombuffer(b"".join(found), self.kind)
         n = len(self.index)
