@@ -1,10 +1,389 @@
-"""All registered queries and their SQL."""
+"""All registered queries of the object and call operators, and their SQL over the same tables."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions import ids, policy
+from .operators import calls as replay
+from .operators import metrics, store
+from .plans import placement
+from .sources import bindings as b
+from .sources.bindings import with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+_FNV = """list_reduce(list_prepend(2166136261::bigint, list_transform(range(1, strlen(object_id)::bigint + 1),
+    lambda i: ('0x' || substr(hex(encode(object_id)), (2*i-1)::int, 2))::bigint)), lambda h, c: (xor(h, c) * 16777619) & 4294967295)"""
+_FIXED = r"try_cast(nullif(regexp_extract(object_id, '^shard#([+-]?[0-9]{1,18})/', 1), '') AS bigint)"
+_SHARD = f"CASE WHEN {_FIXED} BETWEEN 0 AND 8191 THEN {_FIXED} ELSE {_FNV} % 8192 END"
+_PARSED = rf"""CASE WHEN object_id = '' THEN 'empty id' WHEN object_id LIKE 'shard#%' AND instr(object_id, '/') = 0 THEN 'shard id without slash'
+    WHEN object_id LIKE 'shard#%' AND {_FIXED} IS NULL THEN 'bad shard number' WHEN object_id NOT LIKE 'shard#%' AND instr(object_id, '/') = 1 THEN 'empty node' END"""
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name, with its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _case_quantile(q: float) -> str:
+    bounds = metrics.CALL_BUCKETS
+    out = f"{bounds[-1]}::double"
+    for i in range(len(bounds) - 1, -1, -1):
+        low, below = (bounds[i - 1], f"le_{i - 1}") if i else (0.0, "0")
+        out = f"CASE WHEN le_{i} >= {q}::double * n THEN coalesce({low}::double + {bounds[i] - low!r}::double * ({q}::double * n - {below}) / nullif(le_{i} - {below}, 0), {bounds[i]}::double) ELSE {out} END"
+    return f"CASE WHEN n > 0 THEN round({out}, 6) END"
+
+
+_BUCKETS = ", ".join(f"count(*) FILTER (duration_us / 1000000.0::double <= {x}::double) AS le_{i}" for i, x in enumerate(metrics.CALL_BUCKETS))
+_ROUTED = f"""routed AS (SELECT c.*, CASE WHEN s.current_node = '' THEN 'unclaimed' WHEN n.alive IS NOT TRUE THEN 'owner dead'
+    WHEN s.target_node <> s.current_node THEN 'migrating' ELSE s.current_node END AS route
+    FROM (SELECT *, {_SHARD} AS shard FROM calls) c LEFT JOIN shards s ON s.shard_id = c.shard LEFT JOIN nodes n ON n.address = s.current_node)"""
+
+
+def _routed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls with the owner node of their object's shard, or why there is none. Ownership has at most 8,192 rows."""
+    owners = b.shards(spark).join(b.nodes(spark).select(F.col("address").alias("current_node"), "alive"), "current_node", "left")
+    c = b.calls(spark, sf_dir).withColumn("shard", ids.shard_id(F.col("object_id")))
+    route = (
+        F.when(F.col("current_node") == "", "unclaimed")
+        .when(~F.coalesce("alive", F.lit(False)), "owner dead")
+        .when(F.col("target_node") != F.col("current_node"), "migrating")
+        .otherwise(F.col("current_node"))
+    )
+    return c.join(F.broadcast(owners), c["shard"] == owners["shard_id"], "left").withColumn("route", route)
+
+
+@query(with_views("calls", "shards", "nodes") + f", {_ROUTED}, h AS (SELECT route, method, status, {_BUCKETS}, count(*) AS n, avg(duration_us::double) AS m FROM routed GROUP BY ALL) SELECT route, method, status, n, round(m, 6) AS mean_us, {_case_quantile(0.95)} AS p95_s, {_case_quantile(0.99)} AS p99_s FROM h")
+def call_latency_by_owner(spark, sf_dir):
+    h = metrics.histogram(_routed(spark, sf_dir), ["route", "method", "status"], F.col("duration_us") / F.lit(1e6))
+    mean = F.round(F.col("total") * 1e6 / F.col("n"), 6).alias("mean_us")
+    return h.select("route", "method", "status", "n", mean, F.round(metrics.quantile(0.95), 6).alias("p95_s"), F.round(metrics.quantile(0.99), 6).alias("p99_s"))
+
+
+@query(with_views("id_samples") + f"SELECT object_id, {_SHARD} AS shard FROM id_samples")
+def p1_shard_id(spark, sf_dir):
+    return b.id_samples(spark, sf_dir).select("object_id", ids.shard_id(F.col("object_id")).alias("shard"))
+
+
+@query(with_views("id_samples") + f"""SELECT object_id, CASE WHEN error IS NOT NULL THEN NULL WHEN object_id LIKE 'shard#%' THEN 'shard' WHEN instr(object_id, '/') > 0 THEN 'node' ELSE 'regular' END AS kind,
+  CASE WHEN error IS NULL THEN {_FIXED} END AS shard, CASE WHEN error IS NULL AND object_id NOT LIKE 'shard#%' AND instr(object_id, '/') > 0 THEN split_part(object_id, '/', 1) END AS node,
+  CASE WHEN error IS NULL AND instr(object_id, '/') > 0 THEN substr(object_id, instr(object_id, '/') + 1) END AS part, error,
+  CASE WHEN error IS NOT NULL THEN false WHEN object_id LIKE 'shard#%' THEN {_FIXED} BETWEEN 0 AND 8191 ELSE true END AS valid FROM (SELECT object_id, {_PARSED} AS error FROM id_samples)""")
+def p2_parse_object_id(spark, sf_dir):
+    p = ids.parse(F.col("object_id"))
+    valid = F.when(p["error"].isNotNull(), False).when(p["kind"] == "shard", p["shard"].between(0, ids.SHARDS - 1)).otherwise(True)
+    return b.id_samples(spark, sf_dir).select("object_id", *[c.alias(n) for n, c in p.items()], valid.alias("valid"))
+
+
+@query(with_views("shards") + "SELECT shard_id, target_node AS target, current_node AS current, CASE WHEN pinned THEN 'pinned' ELSE '' END AS flags FROM shards")
+def p5_parse_owner(spark, sf_dir):
+    text = F.concat(F.lit(" "), "target_node", F.when(F.col("pinned"), ", f= pinned ,").otherwise(","), "current_node", F.lit(", f=,extra"))
+    s = b.shards(spark).select("shard_id", text.alias("value"))
+    return s.select("shard_id", *[c.alias(n) for n, c in ids.parse_owner(F.col("value")).items()])
+
+
+@query(with_views("calls") + "SELECT seq, ts_us FROM calls")
+def p8_decode_unique_id(spark, sf_dir):
+    raw = F.concat(F.lpad(F.hex("ts_us"), 16, "0"), F.substring(F.md5(F.col("seq").cast("string")), 1, 16))
+    unique = F.substring(F.translate(F.base64(F.unhex(raw)), "+/", "-_"), 1, 20)
+    return b.calls(spark, sf_dir).select("seq", ids.id_time_us(unique).alias("ts_us"))
+
+
+@query(with_views("calls") + "SELECT object_id, count(*) AS calls, round(least(4.0::double, 1 + 3 * log10(1 + count(*)::double) / log10(601.0::double)), 6) AS scale FROM calls GROUP BY 1")
+def p18_load_scale(spark, sf_dir):
+    return b.calls(spark, sf_dir).groupBy("object_id").agg(F.count("*").alias("calls")).withColumn("scale", F.round(ids.load_scale(F.col("calls")), 6))
+
+
+@query(with_views("objects") + "SELECT object_id, c_name AS name, c_acctbal AS balance FROM objects WHERE object_type = 'BUILDING' AND c_acctbal > 5000 AND c_nationkey = 3")
+def q16_json_predicate(spark, sf_dir):
+    o = b.objects(spark, sf_dir).where("object_type = 'BUILDING'").withColumn("j", F.from_json("data", "name string, balance double, nation int"))
+    return o.where("j.balance > 5000 and j.nation = 3").select("object_id", "j.name", "j.balance")
+
+
+@query(with_views("object_writes") + "SELECT object_id, arg_max(status, (written_us, write_no)) AS status, arg_max(price, (written_us, write_no)) AS price, min(written_us) AS created, max(written_us) AS updated, count(*) AS writes FROM object_writes GROUP BY 1")
+def m1_upsert(spark, sf_dir):
+    return store.upsert(b.object_writes(spark, sf_dir), "object_id", ["written_us", "write_no"], ["status", "price"])
+
+
+@query(with_views("calls") + "SELECT call_id, arg_min(method, seq) AS method, min(seq) AS seq, arg_min(status, seq) AS status, count(*) AS arrivals, max(seq) AS last FROM calls GROUP BY 1")
+def m2_insert_or_get(spark, sf_dir):
+    return store.insert_or_get(b.calls(spark, sf_dir).select("call_id", "seq", "method", "status"), "call_id", "seq")
+
+
+@query(with_views("requests") + "SELECT request_id, CASE WHEN status = 'pending' AND retry_count > 3 THEN 'failed' ELSE status END AS status FROM requests")
+def m3_status_update(spark, sf_dir):
+    return b.requests(spark, sf_dir).select("request_id", F.when((F.col("status") == "pending") & (F.col("retry_count") > 3), "failed").otherwise(F.col("status")).alias("status"))
+
+
+@query(with_views("objects", "object_writes") + "SELECT object_id, object_type FROM objects o WHERE NOT EXISTS (SELECT 1 FROM object_writes w WHERE w.object_id = o.object_id AND status = 'F')")
+def m4_delete(spark, sf_dir):
+    gone = b.object_writes(spark, sf_dir).where("status = 'F'").select("object_id")
+    return b.objects(spark, sf_dir).join(gone, "object_id", "left_anti").select("object_id", "object_type")
+
+
+@query(with_views("calls") + "SELECT seq, CASE WHEN status = 'success' AND duration_us < 5000 THEN 'success without result' ELSE 'failure without message' END AS violation FROM calls WHERE (status = 'success' AND duration_us < 5000) OR (status = 'failure' AND duration_us >= 90000)")
+def m5_check_violations(spark, sf_dir):
+    c = b.calls(spark, sf_dir)
+    bad = F.when((F.col("status") == "success") & (F.col("duration_us") < 5000), "success without result").when((F.col("status") == "failure") & (F.col("duration_us") >= 90000), "failure without message")
+    return c.select("seq", bad.alias("violation")).where("violation is not null")
+
+
+@query(with_views("shards", "shard_events") + "SELECT e.mod_revision AS proposal, shard, e.mod_revision % 300 AS expected, coalesce(e.mod_revision % 300 = s.mod_revision, false) AS applied FROM shard_events e LEFT JOIN shards s ON s.shard_id = e.shard")
+def m9_compare_and_set(spark, sf_dir):
+    p = b.shard_events(spark, sf_dir).select(F.col("mod_revision").alias("proposal"), "shard", (F.col("mod_revision") % 300).alias("expected"))
+    return store.compare_and_set(b.shards(spark).select(F.col("shard_id").alias("shard"), "mod_revision"), p, "shard")
+
+
+@query(with_views("requests") + "SELECT p.request_id, p.object_key FROM requests p JOIN (SELECT object_key, min(created_us) AS cursor FROM requests WHERE status = 'failed' GROUP BY 1) c USING (object_key) WHERE p.status = 'pending' AND p.created_us >= c.cursor")
+def s4_pending_calls(spark, sf_dir):
+    r = b.requests(spark, sf_dir)
+    cursors = r.where("status = 'failed'").groupBy("object_key").agg(F.min("created_us").alias("cursor"))
+    return store.pending(r, cursors, "object_key", "created_us").select("request_id", "object_key")
+
+
+@query(with_views("shard_events") + "SELECT shard, mod_revision, current_node FROM (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY mod_revision DESC) AS r FROM shard_events) WHERE r = 1 AND op <> 'DELETE'")
+def w7_latest_state(spark, sf_dir):
+    return store.latest_state(b.shard_events(spark, sf_dir).drop("ts_us"), "shard", "mod_revision").select("shard", "mod_revision", "current_node")
+
+
+@query(with_views("shard_events") + "SELECT current_node AS to_node, before AS from_node, count(*) AS migrations FROM (SELECT *, lag(current_node) OVER (PARTITION BY shard ORDER BY mod_revision) AS before, lag(op) OVER (PARTITION BY shard ORDER BY mod_revision) AS op_before FROM shard_events) WHERE op = 'PUT' AND op_before = 'PUT' AND before <> current_node GROUP BY ALL")
+def r13_migrations(spark, sf_dir):
+    w = Window.partitionBy("shard").orderBy("mod_revision")
+    e = b.shard_events(spark, sf_dir).withColumns({"before": F.lag("current_node").over(w), "op_before": F.lag("op").over(w)})
+    moved = e.where("op = 'PUT' and op_before = 'PUT' and before <> current_node")
+    return moved.groupBy(F.col("current_node").alias("to_node"), F.col("before").alias("from_node")).agg(F.count("*").alias("migrations"))
+
+
+@query(with_views("calls") + "SELECT seq, count(*) OVER w AS calls, round(avg(duration_us::double) OVER w, 4) AS mean FROM calls WINDOW w AS (PARTITION BY object_type ORDER BY ts_us RANGE BETWEEN 59999999 PRECEDING AND CURRENT ROW)")
+def w1_rolling_rate(spark, sf_dir):
+    r = metrics.rolling(b.calls(spark, sf_dir), "object_type", "ts_us", "duration_us")
+    return r.select("seq", "calls", F.round("mean", 4).alias("mean"))
+
+
+@query(with_views("requests") + "SELECT status, count(*) AS n, round(100.0::double * count(*) / sum(count(*)) OVER (), 2) AS share FROM requests GROUP BY status")
+def w3_share_of_total(spark, sf_dir):
+    c = b.requests(spark, sf_dir).groupBy("status").agg(F.count("*").alias("n"))
+    return c.withColumn("share", F.round(F.lit(100.0) * F.col("n") / F.sum("n").over(Window.partitionBy()), 2))
+
+
+@query(with_views("calls") + "SELECT object_id, first_seq, place, (place - 1) // 4 AS batch FROM (SELECT object_id, first_seq, row_number() OVER (PARTITION BY object_type ORDER BY first_seq) AS place FROM (SELECT object_type, object_id, min(seq) AS first_seq FROM calls GROUP BY ALL))")
+def w4_queue_places(spark, sf_dir):
+    first = b.calls(spark, sf_dir).groupBy("object_type", "object_id").agg(F.min("seq").alias("first_seq"))
+    place = F.row_number().over(Window.partitionBy("object_type").orderBy("first_seq")).cast("long")
+    return first.select("object_id", "first_seq", place.alias("place"), F.floor((place - 1) / 4).alias("batch"))
+
+
+_RULES = [
+    policy.Rule("Counter", "", "", "ALLOW"),
+    policy.Rule("/W.*/", "/User-[0-9]*[02468]/", "purchase", "EXTERNAL"),
+    policy.Rule("/W.*/", "", "/(click|view)/", "INTERNAL"),
+    policy.Rule("/Chat.*/", "User-7", "", "REJECT"),
+    policy.Rule("/Chat.*/", "", "/s.*/", "ALLOW"),
+]
+
+
+@query(with_views("calls") + """, d AS (SELECT seq, CASE WHEN object_type = 'Counter' THEN 'ALLOW' WHEN regexp_full_match(object_type, 'W.*') AND regexp_full_match(object_id, 'User-[0-9]*[02468]') AND method = 'purchase' THEN 'EXTERNAL'
+  WHEN regexp_full_match(object_type, 'W.*') AND regexp_full_match(method, '(click|view)') THEN 'INTERNAL' WHEN regexp_full_match(object_type, 'Chat.*') AND object_id = 'User-7' THEN 'REJECT'
+  WHEN regexp_full_match(object_type, 'Chat.*') AND regexp_full_match(method, 's.*') THEN 'ALLOW' ELSE 'REJECT' END AS access FROM calls)
+  SELECT seq, access, access IN ('ALLOW','EXTERNAL') AS client_ok, access IN ('ALLOW','INTERNAL') AS node_ok FROM d""")
+def c2_access_decision(spark, sf_dir):
+    access = policy.decide(_RULES, F.col("object_type"), F.col("object_id"), F.col("method"))
+    d = b.calls(spark, sf_dir).select("seq", access.alias("access"))
+    return d.select("seq", "access", F.col("access").isin("ALLOW", "EXTERNAL").alias("client_ok"), F.col("access").isin("ALLOW", "INTERNAL").alias("node_ok"))
+
+
+@query(with_views("calls", "shards", "nodes") + f", {_ROUTED} SELECT route, count(*) AS calls FROM routed GROUP BY 1")
+def c8_route_outcomes(spark, sf_dir):
+    return _routed(spark, sf_dir).groupBy("route").agg(F.count("*").alias("calls"))
+
+
+@query(with_views("shards", "nodes") + "SELECT bool_and(target_node <> '') AS all_assigned, bool_and(current_node <> '') AS all_claimed, count(*) = 8192 AS complete, (SELECT count(*) FROM nodes WHERE alive) >= 3 AS quorum FROM shards")
+def c10_readiness(spark, sf_dir):
+    quorum = b.nodes(spark).where("alive").agg((F.count("*") >= 3).alias("quorum"))
+    s = b.shards(spark).agg(F.bool_and(F.col("target_node") != "").alias("all_assigned"), F.bool_and(F.col("current_node") != "").alias("all_claimed"), (F.count("*") == 8192).alias("complete"))
+    return s.crossJoin(quorum)  # one row each
+
+
+@query(with_views("nodes", "shards") + "SELECT coalesce(n.address, c.address) AS address, n.configured AND n.alive AS healthy, coalesce(n.leader, false) AS leader, coalesce(owned, 0) AS owned FROM nodes n FULL JOIN (SELECT current_node AS address, count(*) AS owned FROM shards GROUP BY 1) c ON n.address = c.address")
+def j2_nodes_full_outer(spark, sf_dir):
+    owned = b.shards(spark).groupBy(F.col("current_node").alias("address")).agg(F.count("*").alias("owned"))
+    j = b.nodes(spark).join(owned, "address", "full")
+    return j.select("address", (F.col("configured") & F.col("alive")).alias("healthy"), F.coalesce("leader", F.lit(False)).alias("leader"), F.coalesce("owned", F.lit(0)).alias("owned"))
+
+
+@query(with_views("objects", "shards") + f"SELECT shard_id, target_node, coalesce(n, 0) AS objects FROM shards LEFT JOIN (SELECT {_SHARD} AS shard_id, count(*) AS n FROM objects GROUP BY 1) USING (shard_id)")
+def j4_objects_per_shard(spark, sf_dir):
+    n = b.objects(spark, sf_dir).groupBy(ids.shard_id(F.col("object_id")).alias("shard_id")).agg(F.count("*").alias("n"))
+    return b.shards(spark).join(n, "shard_id", "left").select("shard_id", "target_node", F.coalesce("n", F.lit(0)).alias("objects"))
+
+
+@query(with_views("objects", "object_writes") + "SELECT object_id FROM objects EXCEPT SELECT object_id FROM object_writes")
+def j6_stale_objects(spark, sf_dir):
+    return b.objects(spark, sf_dir).select("object_id").join(b.object_writes(spark, sf_dir).select("object_id"), "object_id", "left_anti")
+
+
+@query(with_views("objects", "shards") + f"SELECT object_id FROM (SELECT object_id, {_SHARD} AS shard_id FROM objects WHERE object_id NOT LIKE '%/%') LEFT JOIN shards USING (shard_id) WHERE current_node IS DISTINCT FROM 'node-1' OR target_node IS DISTINCT FROM 'node-1'")
+def j10_objects_to_evict(spark, sf_dir):
+    o = b.objects(spark, sf_dir).where(~F.col("object_id").contains("/")).select("object_id", ids.shard_id(F.col("object_id")).alias("shard_id"))
+    s = F.broadcast(b.shards(spark))  # 8,192 rows
+    return o.join(s, "shard_id", "left").where("not (current_node <=> 'node-1') or not (target_node <=> 'node-1')").select("object_id")
+
+
+@query(with_views("shards", "nodes") + "SELECT address, coalesce(owned, 0) AS owned, coalesce(migrating, 0) AS migrating FROM (SELECT address FROM nodes WHERE alive UNION SELECT current_node FROM shards WHERE current_node <> '') LEFT JOIN (SELECT current_node AS address, count(*) AS owned, count(*) FILTER (target_node <> '' AND target_node <> current_node) AS migrating FROM shards WHERE current_node <> '' GROUP BY 1) USING (address)")
+def a4_shards_per_node(spark, sf_dir):
+    owned = b.shards(spark).where("current_node <> ''").groupBy(F.col("current_node").alias("address")).agg(F.count("*").alias("owned"), F.count_if((F.col("target_node") != "") & (F.col("target_node") != F.col("current_node"))).alias("migrating"))
+    alive = b.nodes(spark).where("alive").select("address")
+    return alive.join(owned, "address", "full").select("address", F.coalesce("owned", F.lit(0)).alias("owned"), F.coalesce("migrating", F.lit(0)).alias("migrating"))
+
+
+@query(with_views("calls") + "SELECT object_type, method, status, count(*) AS calls, round(sum(duration_us / 1000000.0::double), 4) AS seconds FROM calls GROUP BY ALL")
+def a12_call_counters(spark, sf_dir):
+    return b.calls(spark, sf_dir).groupBy("object_type", "method", "status").agg(F.count("*").alias("calls"), F.round(F.sum(F.col("duration_us") / F.lit(1e6)), 4).alias("seconds"))
+
+
+@query(with_views("calls") + f"SELECT method, {_BUCKETS}, count(*) AS n FROM calls GROUP BY 1")
+def a14_histogram(spark, sf_dir):
+    return metrics.histogram(b.calls(spark, sf_dir), ["method"], F.col("duration_us") / F.lit(1e6)).drop("total")
+
+
+@query(with_views("calls") + f", h AS (SELECT method, {_BUCKETS}, count(*) AS n FROM calls GROUP BY 1) SELECT method, n, {_case_quantile(0.95)} AS p95, {_case_quantile(0.5)} AS p50 FROM h")
+def q4_histogram_quantile(spark, sf_dir):
+    h = metrics.histogram(b.calls(spark, sf_dir), ["method"], F.col("duration_us") / F.lit(1e6))
+    return h.select("method", "n", F.round(metrics.quantile(0.95), 6).alias("p95"), F.round(metrics.quantile(0.5), 6).alias("p50"))
+
+
+@query(with_views("calls") + "SELECT ts_us // 300000000 AS step, count(*) AS calls, round(count(*) FILTER (status = 'failure') / 300.0::double, 6) AS errors_per_s, round(count(*) FILTER (status = 'success')::double / count(*), 6) AS success_ratio FROM calls GROUP BY 1")
+def q2_success_ratio(spark, sf_dir):
+    g = b.calls(spark, sf_dir).groupBy(F.floor(F.col("ts_us") / 300_000_000).alias("step"))
+    return g.agg(F.count("*").alias("calls"), F.round(F.count_if(F.col("status") == "failure") / F.lit(300.0), 6).alias("errors_per_s"), F.round(F.count_if(F.col("status") == "success") / F.count("*"), 6).alias("success_ratio"))
+
+
+@query(with_views("calls") + """, s AS (SELECT object_type, ts_us // 3600000000 AS step, count(*) FILTER (status = 'failure')::double / count(*) AS ratio FROM calls GROUP BY ALL),
+  m AS (SELECT *, row_number() OVER (PARTITION BY object_type ORDER BY step) AS n FROM s), r AS (SELECT *, n - row_number() OVER (PARTITION BY object_type ORDER BY step) AS run FROM m WHERE ratio > 0.05::double)
+  SELECT object_type, min(step) AS first, max(step) AS last, count(*) AS steps FROM r GROUP BY object_type, run HAVING count(*) >= 3""")
+def q8_alert_holds(spark, sf_dir):
+    g = b.calls(spark, sf_dir).groupBy("object_type", F.floor(F.col("ts_us") / 3_600_000_000).alias("step"))
+    ratio = g.agg((F.count_if(F.col("status") == "failure") / F.count("*")).alias("ratio"))
+    return metrics.held(ratio, ["object_type"], "step", F.col("ratio") > F.lit(0.05), 3)
+
+
+@query(with_views("requests") + "SELECT status, round(quantile_cont((processed_us - created_us) / 1000000.0::double, 0.5), 2) AS p50, round(quantile_cont((processed_us - created_us) / 1000000.0::double, 0.95), 2) AS p95, round(quantile_cont((processed_us - created_us) / 1000000.0::double, 0.99), 2) AS p99 FROM requests WHERE processed_us IS NOT NULL GROUP BY 1")
+def q10_processing_percentiles(spark, sf_dir):
+    r = b.requests(spark, sf_dir).where("processed_us is not null").withColumn("t", (F.col("processed_us") - F.col("created_us")) / F.lit(1e6))
+    return r.groupBy("status").agg(*[F.round(F.percentile("t", q), 2).alias(n) for n, q in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))])
+
+
+@query(with_views("requests") + "SELECT object_key, count(*) AS n, round(avg(retry_count::double), 6) AS mean_retries FROM requests WHERE retry_count IS NOT NULL GROUP BY 1 HAVING avg(retry_count::double) > 3")
+def q14_retry_hot_spots(spark, sf_dir):
+    r = b.requests(spark, sf_dir).where("retry_count is not null").groupBy("object_key").agg(F.count("*").alias("n"), F.avg("retry_count").alias("m"))
+    return r.where("m > 3").select("object_key", "n", F.round("m", 6).alias("mean_retries"))
+
+
+@query(with_views("requests") + "SELECT CASE WHEN created_us < (SELECT max(created_us) FROM requests) - 30 * 86400000000 THEN 'archive' ELSE 'keep' END AS part, status, count(*) AS n FROM requests GROUP BY ALL")
+def q13_archive_split(spark, sf_dir):
+    r = b.requests(spark, sf_dir)
+    newest = r.agg(F.max("created_us").alias("newest"))
+    part = F.when(F.col("created_us") < F.col("newest") - 30 * 86_400_000_000, "archive").otherwise("keep")
+    return r.crossJoin(newest).groupBy(part.alias("part"), "status").agg(F.count("*").alias("n"))  # newest is one row
+
+
+@query(with_views("wallet_ops") + """, o AS (SELECT wallet_id, kind, amount, row_number() OVER (PARTITION BY wallet_id ORDER BY seq) AS n FROM wallet_ops),
+  f AS (SELECT wallet_id, 0::bigint AS n, 0::bigint AS balance, 0::bigint AS rejected, 0::bigint AS deposited, 0::bigint AS withdrawn FROM (SELECT DISTINCT wallet_id FROM o) UNION ALL
+  SELECT f.wallet_id, o.n, CASE WHEN o.amount <= 0 OR (o.kind = 'withdraw' AND o.amount > balance) THEN balance WHEN o.kind = 'deposit' THEN balance + o.amount ELSE balance - o.amount END,
+   rejected + CASE WHEN o.amount <= 0 OR (o.kind = 'withdraw' AND o.amount > balance) THEN 1 ELSE 0 END, deposited + CASE WHEN o.amount > 0 AND o.kind = 'deposit' THEN o.amount ELSE 0 END,
+   withdrawn + CASE WHEN o.amount > 0 AND o.kind = 'withdraw' AND o.amount <= balance THEN o.amount ELSE 0 END FROM f JOIN o ON o.wallet_id = f.wallet_id AND o.n = f.n + 1)
+  SELECT wallet_id, balance, rejected, deposited, withdrawn FROM f QUALIFY row_number() OVER (PARTITION BY wallet_id ORDER BY n DESC) = 1""")
+def d4_wallet_replay(spark, sf_dir):
+    return replay.replay_wallets(b.wallet_ops(spark, sf_dir))
+
+
+@query(with_views("calls") + ", l AS (SELECT object_id, max(seq) FILTER (method = 'error') AS last FROM calls GROUP BY 1) SELECT object_id, coalesce(sum(duration_us) FILTER (method <> 'error' AND (last IS NULL OR seq > last)), 0)::bigint AS value, count(*) FILTER (method = 'error') AS resets FROM calls JOIN l USING (object_id) GROUP BY 1")
+def d3_counter_since_reset(spark, sf_dir):
+    return replay.counters_since_reset(b.calls(spark, sf_dir), "object_id", "seq", "method = 'error'", "duration_us")
+
+
+_PLAN = "SELECT shard_id, CASE WHEN shard_id % 11 = 0 THEN '' ELSE target_node END AS target_node, current_node, pinned FROM shards"
+
+
+@query(with_views("shards") + f""", s AS ({_PLAN}), k AS (SELECT *, (pinned AND target_node <> '') OR target_node IN ('node-0','node-1','node-2','node-3') AS keep FROM s),
+  m AS (SELECT *, NOT keep AND target_node = '' AND current_node IN ('node-0','node-1','node-2','node-3','node-5') AS mine FROM k), d AS (SELECT *, NOT keep AND NOT mine AS dealt FROM m),
+  r AS (SELECT *, sum(dealt::int) OVER (ORDER BY shard_id) - 1 AS place FROM d)
+  SELECT shard_id, CASE WHEN keep THEN target_node WHEN mine THEN current_node ELSE ['node-0','node-1','node-2','node-3','node-5'][(place % 5)::int + 1] END AS new_target, dealt FROM r""")
+def n1_assign_targets(spark, sf_dir):
+    s = b.shards(spark).withColumn("target_node", F.when(F.col("shard_id") % 11 == 0, "").otherwise(F.col("target_node")))
+    return placement.assign(s, b.nodes(spark).where("alive"))
+
+
+@query(with_views("shards", "nodes") + "SELECT shard_id FROM shards LEFT JOIN nodes ON address = current_node WHERE target_node = 'node-2' AND (current_node = '' OR alive IS NOT TRUE)")
+def n2_claim(spark, sf_dir):
+    n = F.broadcast(b.nodes(spark))  # a handful of rows
+    s = b.shards(spark)
+    j = s.join(n, s["current_node"] == n["address"], "left")
+    return j.where((F.col("target_node") == "node-2") & ((F.col("current_node") == "") | ~F.coalesce("alive", F.lit(False)))).select("shard_id")
+
+
+@query(with_views("objects", "shards") + f"SELECT shard_id FROM shards WHERE current_node = 'node-1' AND target_node NOT IN ('', 'node-1') AND shard_id NOT IN (SELECT {_SHARD} FROM objects)")
+def n3_release(spark, sf_dir):
+    used = b.objects(spark, sf_dir).select(ids.shard_id(F.col("object_id")).alias("shard_id"))
+    return b.shards(spark).where("current_node = 'node-1' and target_node not in ('', 'node-1')").join(used, "shard_id", "left_anti").select("shard_id")
+
+
+@query()
+def n4_rebalance(spark, sf_dir):
+    """The greedy plan walks counters of a few nodes; its input, one row per shard, is bounded by the number of shards."""
+    s = b.shards(spark).where("target_node <> ''").withColumn("target_node", F.when(F.col("shard_id") < 2000, "node-0").otherwise(F.col("target_node")))
+    rows = s.select("shard_id", "target_node", "pinned").collect()
+    counts = {r.address: 0 for r in b.nodes(spark).where("alive").collect()}
+    free: dict[str, list[int]] = {}
+    for r in rows:
+        if r.target_node in counts:
+            counts[r.target_node] += 1
+            if not r.pinned:
+                free.setdefault(r.target_node, []).append(r.shard_id)
+    moves = placement.rebalance(counts, free, len(rows), max(1, len(rows) // 128))
+    return spark.createDataFrame(moves, "shard_id long, from_node string, to_node string")
+
+
+@query(with_views("calls") + ", c AS (SELECT object_id, count(*) AS n FROM calls GROUP BY 1) SELECT object_id, n FROM c ORDER BY n DESC, object_id LIMIT 5")
+def o6_top_objects(spark, sf_dir):
+    return b.calls(spark, sf_dir).groupBy("object_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "object_id").limit(5)
+
+
+@query("SELECT conv_id AS room, 'gate-' || (turn % 2) AS gate, count(*) AS pushes, count(DISTINCT role) AS users FROM conversations GROUP BY ALL")
+def r15_fan_out_by_gate(spark, sf_dir):
+    c = b.table(spark, sf_dir, "conversations")
+    return c.groupBy(F.col("conv_id").alias("room"), F.concat(F.lit("gate-"), F.col("turn") % 2).alias("gate")).agg(F.count("*").alias("pushes"), F.countDistinct("role").alias("users"))
+
+
+@query("WITH m AS (SELECT conv_id, role, 'gate-' || (max(turn) % 2) AS gate FROM conversations GROUP BY ALL) SELECT c.conv_id AS room, c.turn, m.role AS recipient, m.gate, m.gate = 'gate-0' AS delivered FROM conversations c JOIN m ON m.conv_id = c.conv_id AND m.role <> c.role")
+def r25_chat_broadcast(spark, sf_dir):
+    c = b.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
+    members = c.groupBy("conv_id", F.col("role").alias("recipient")).agg(F.concat(F.lit("gate-"), F.max("turn") % 2).alias("gate"))
+    j = c.join(members, "conv_id").where("recipient <> role")
+    return j.select(F.col("conv_id").alias("room"), "turn", "recipient", "gate", (F.col("gate") == "gate-0").alias("delivered"))
+
+
+@query("SELECT x, y, CASE WHEN x IN (0, 12) OR y IN (0, 10) OR (x % 2 = 0 AND y % 2 = 0) THEN 'wall' WHEN (x IN (1, 11) AND y IN (1, 2, 8, 9)) OR (x IN (2, 10) AND y IN (1, 9)) THEN 'empty' ELSE 'block' END AS tile FROM range(13) a(x), range(11) b(y)")
+def z18_grid_layout(spark, sf_dir):
+    g = spark.range(143).select((F.col("id") % 13).alias("x"), F.floor(F.col("id") / 13).alias("y"))
+    wall = "x in (0, 12) or y in (0, 10) or (x % 2 = 0 and y % 2 = 0)"
+    pocket = "(x in (1, 11) and y in (1, 2, 8, 9)) or (x in (2, 10) and y in (1, 9))"
+    return g.select("x", "y", F.when(F.expr(wall), "wall").when(F.expr(pocket), "empty").otherwise("block").alias("tile"))
+
+
+@query("SELECT 'lineitem' AS name, count(*) AS n FROM lineitem UNION ALL SELECT 'orders', count(*) FROM orders UNION ALL SELECT 'events', count(*) FROM events")
+def s15_table_counts(spark, sf_dir):
+    counts = [b.table(spark, sf_dir, t).agg(F.lit(t).alias("name"), F.count("*").alias("n")) for t in ("lineitem", "orders", "events")]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2])
