@@ -39,20 +39,27 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Cuts repeated strings of REPEAT_BYTES out of the texts; a text with nothing left goes.
 
     Bytes of a character that was cut through go with it. n_chars follows the new text."""
-    cut = suffix_dedup.remove_repeats(docs, length=REPEAT_BYTES, anchor=48)
-    cut = cut.where("n_removed > 0").select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), "kept").dropDuplicates(["_id", "_tag"])
+    _, verdict = suffix_dedup.verdicts(docs, length=REPEAT_BYTES, anchor=48)
+    verdict = verdict.select(F.col("id").alias("_id"), F.col("tag").alias("_tag"), F.col("spans").alias("_spans"), F.col("whole").alias("_whole"))
+    tag = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    joined = docs.join(verdict, docs["doc_id"].eqNullSafe(verdict["_id"]) & (tag == verdict["_tag"]), "left").drop("_id", "_tag")
+    names = docs.columns
 
-    def decode(batches):
+    def apply(batches):
         for b in batches:
-            text = [x.decode("utf-8", "ignore") for x in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(text, pa.string())], ["_id", "_tag", "_kept"])
-
-    new = cut.mapInArrow(decode, "_id long, _tag long, _kept string")
-    tag = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    joined = docs.join(new, docs["doc_id"].eqNullSafe(new["_id"]) & (tag == new["_tag"]), "left")
-    text = F.coalesce("_kept", "text")
-    out = {"text": text, "n_chars": F.when(F.col("_kept").isNull(), F.col("n_chars")).otherwise(F.length("_kept").cast("long"))}
-    return joined.where(F.col("_kept").isNull() | (F.trim("_kept") != "")).select(*[out.get(c, docs[c]).alias(c) for c in docs.columns])
+            spans, whole = b.column("_spans").to_pylist(), b.column("_whole").to_pylist()
+            texts, sizes, keep = b.column("text").to_pylist(), b.column("n_chars").to_pylist(), []
+            for i, text in enumerate(texts):
+                touched = bool(spans[i]) or bool(whole[i])
+                if touched:
+                    left, _ = suffix_dedup.cut(text.encode(), spans[i], whole[i], REPEAT_BYTES)
+                    texts[i] = left.decode("utf-8", "ignore")
+                    sizes[i] = len(texts[i])
+                keep.append(not touched or bool(texts[i].strip()))
+            new = {"text": pa.array(texts, pa.string()), "n_chars": pa.array(sizes, b.schema.field("n_chars").type)}
+            yield pa.RecordBatch.from_arrays([new.get(c, b.column(c)) for c in names], names).filter(pa.array(keep))
+
+    return joined.mapInArrow(apply, docs.schema)
 
 
 def decontaminate_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

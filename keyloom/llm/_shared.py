@@ -39,6 +39,17 @@ def text_bytes(column: pa.Array) -> list[bytes]:
     return [b if b is not None else b"" for b in column.cast(pa.binary()).to_pylist()]
 
 
+_caches: dict = {}
+
+
+def claim(name: str, forget=None) -> None:
+    """A worker process serves many tasks: what other operators have remembered in it is dropped when one of another name begins."""
+    for other in [n for n in _caches if n != name]:
+        _caches.pop(other)()
+    if forget:
+        _caches[name] = forget
+
+
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Indexes start..start+length-1 of every run, one after the other."""
     total = int(lengths.sum())

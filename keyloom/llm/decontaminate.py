@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import bounded_batches
+from ._shared import bounded_batches, claim
 
 WIDTH = 5
 THRESHOLD = 0.8
@@ -112,6 +112,7 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
 
         def run(batches):
             index = held.value
+            claim("words", _cache.clear)
             for b in batches:
                 out = []
                 for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import bounded_batches
+from ._shared import bounded_batches, claim
 
 PER_LANGUAGE = 400  # training texts of a language at most, about; chosen by a hash of the id
 SEGMENT = 40  # words of a chain; longer texts are cut into several
@@ -61,6 +61,9 @@ class Crf:
         self._index: dict[str, int] = {}
         self._rows = np.zeros((1024, len(labels)))
 
+    def forget(self):
+        self._index, self._rows = {}, np.zeros((1024, len(self.labels)))
+
     def __getstate__(self):
         return self.labels, self.weight, self.link, self.lexicons
 
@@ -69,7 +72,7 @@ class Crf:
 
     def emissions(self, every: list[str]) -> np.ndarray:
         if len(self._index) > CACHE:
-            self._index = {}
+            self.forget()
         try:
             return self._rows[np.fromiter(map(self._index.__getitem__, every), np.int64, len(every))]
         except KeyError:
@@ -213,6 +216,7 @@ def identify(docs: DataFrame, model: Crf, text_col: str = "text") -> DataFrame:
 
     def run(batches):
         crf = held.value
+        claim("language", crf.forget)
         for batch in batches:
             texts = batch.column(text_col).to_pylist()
             lo = 0

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import bounded_batches, materialize, ragged, text_bytes
+from ._shared import bounded_batches, claim, materialize, ragged, text_bytes
 
 LENGTH = 400
 ANCHOR = 64
@@ -93,6 +93,7 @@ def _anchor_rows(length: int, k: int):
             yield pa.RecordBatch.from_arrays([pa.array(ids).take(at_text).cast(pa.int64()), pa.array(tags).take(at_text), pa.array(h), pa.array(lo), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(first)], names)
 
     def run(batches):
+        claim("suffixes")
         for batch in batches:
             ids, tags, parts, bases, held = [], [], [], [], 0
             for i, tag, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), text_bytes(batch.column(2))):
@@ -272,12 +273,12 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     places = found.join(repeated, "h")
     places = places.join(others, _same_row(places, others), "left_anti")
     by_row = places.groupBy("id", "tag").agg(F.collect_set(F.struct("h", "lo", "at", "n", "texts")).alias("places"))
-    cut = rows.join(by_row, _same_row(rows, by_row)).select(rows["id"], rows["tag"], "text", "places")
-    usual = cut.withColumn("places", F.filter("places", lambda p: p["texts"] <= hot)).where(F.size("places") > 0)
+    found_in = rows.join(by_row, _same_row(rows, by_row)).select(rows["id"], rows["tag"], "text", "places")
+    usual = found_in.withColumn("places", F.filter("places", lambda p: p["texts"] <= hot)).where(F.size("places") > 0)
     pieces = usual.mapInArrow(_cut(length), _PIECE).repartition("h").sortWithinPartitions("h")
     spans = pieces.mapInArrow(_sorted_spans(length, PIECES), "id long, tag long, start long, end long")
     if not repeated.where(F.col("texts") > hot).isEmpty():
-        big = cut.withColumn("places", F.filter("places", lambda p: p["texts"] > hot)).where(F.size("places") > 0)
+        big = found_in.withColumn("places", F.filter("places", lambda p: p["texts"] > hot)).where(F.size("places") > 0)
         windows = big.mapInArrow(_cut(length), _PIECE).mapInArrow(_windows(length), "id long, tag long, starts array<long>, mark binary")
         windows = materialize(windows, "hot-windows")
         twice = windows.groupBy("mark").agg(F.sum(F.size("starts")).alias("n_all")).where("n_all > 1").select("mark")
@@ -287,18 +288,28 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return rows, spans, copied
 
 
+def cut(body: bytes, spans: list[dict] | None, whole: bool | None, length: int) -> tuple[bytes, list[list[int]]]:
+    """What is left of a text, and its maximal removed runs."""
+    runs: list[list[int]] = []
+    if whole and len(body) >= length:
+        runs = [[0, len(body)]]
+    else:
+        for a, b in sorted((s["start"], s["end"]) for s in spans or ()):
+            if runs and a <= runs[-1][1]:
+                runs[-1][1] = max(runs[-1][1], b)
+            else:
+                runs.append([a, b])
+    left, end = [], 0
+    for a, b in runs:
+        left.append(body[end:a])
+        end = b
+    left.append(body[end:])
+    return b"".join(left), runs
+
+
 def _removed(length: int):
     names = ["id", "tag", "n_bytes", "n_removed", "n_spans", "kept"]
 
-    def merged(spans):
-        out: list[list[int]] = []
-        for a, b in sorted(spans):
-            if out and a <= out[-1][1]:
-                out[-1][1] = max(out[-1][1], b)
-            else:
-                out.append([a, b])
-        return out
-
     def run(batches):
         for batch in batches:
             size, gone, count, kept, lo, held = [], [], [], [], 0, 0
@@ -309,13 +320,8 @@ def _removed(length: int):
 
             rows = zip(text_bytes(batch.column(2)), batch.column(3).to_pylist(), batch.column(4).to_pylist())
             for row, (body, spans, whole) in enumerate(rows, 1):
-                cuts = [[0, len(body)]] if whole and len(body) >= length else merged([(s["start"], s["end"]) for s in spans or ()])
-                left, end = [], 0
-                for a, b in cuts:
-                    left.append(body[end:a])
-                    end = b
-                left.append(body[end:])
-                size.append(len(body)), gone.append(sum(b - a for a, b in cuts)), count.append(len(cuts)), kept.append(b"".join(left))
+                left, runs = cut(body, spans, whole, length)
+                size.append(len(body)), gone.append(sum(b - a for a, b in runs)), count.append(len(runs)), kept.append(left)
                 held += len(body)
                 if held > 4_000_000:
                     yield block(row)
@@ -332,12 +338,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     A byte goes if a string of `length` bytes that covers it also starts anywhere else, in the same text or another; all
     occurrences go, judged on the input. Matches never cross rows. Null texts count as empty; rows that repeat (same id
     and text) are separate texts, so each is the other's copy; a null id is kept as an id. Other columns are not read."""
+    rows, verdict = verdicts(docs, id_col, text_col, length, anchor, hot)
+    joined = rows.join(verdict, _same_row(rows, verdict), "left").select(rows["id"], rows["tag"], "text", "spans", "whole")
+    kind = "id long, tag long, n_bytes long, n_removed long, n_spans long, kept binary"
+    return joined.mapInArrow(_removed(length), kind).withColumnRenamed("id", id_col)
+
+
+def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, anchor: int = ANCHOR, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
+    """(rows, verdict): rows as of repeated_spans; verdict (id, tag, spans, whole) of the rows that lose bytes, without texts."""
     rows, spans, copied = repeated_spans(docs, id_col, text_col, length, anchor, hot)
     # the longest end of each start, so that many equal spans of one text come as one
     per_row = spans.groupBy("id", "tag", "start").agg(F.max("end").alias("end"))
     per_row = per_row.groupBy("id", "tag").agg(F.collect_list(F.struct("start", "end")).alias("spans"), F.lit(False).alias("whole"))
     whole = copied.select("id", "tag", F.array().cast("array<struct<start:long,end:long>>").alias("spans"), F.lit(True).alias("whole"))
-    verdict = per_row.unionByName(whole).groupBy("id", "tag").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.max("whole").alias("whole"))
-    joined = rows.join(verdict, _same_row(rows, verdict), "left").select(rows["id"], rows["tag"], "text", "spans", "whole")
-    kind = "id long, tag long, n_bytes long, n_removed long, n_spans long, kept binary"
-    return joined.mapInArrow(_removed(length), kind).withColumnRenamed("id", id_col)
+    return rows, per_row.unionByName(whole).groupBy("id", "tag").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.max("whole").alias("whole"))

@@ -12,7 +12,7 @@ from array import array
 import numpy as np
 import regex
 
-from ._shared import ragged
+from ._shared import claim, ragged
 
 CACHE = 800_000  # most chunks a worker remembers
 PIECES = 250_000  # most pieces of chunks
@@ -58,9 +58,10 @@ class Encoder:
             self.tokenizer.model._resize_cache(0)  # chunks and pieces are remembered here
         self.kind = np.dtype(np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32)
         self.style = style
-        self._forget()
+        self.forget()
 
-    def _forget(self):
+    def forget(self):
+        self.known.clear()
         self.index: dict[str, int] = {}
         self.starts, self.sizes, self.ids, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), np.zeros(1 << 18, self.kind), 0
 
@@ -119,7 +120,7 @@ class Encoder:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other (unsigned 16 or 32 bits), and each text's number of ids."""
         if len(self.index) > CACHE:
-            self._forget()
+            self.forget()
         every: list = []
         counts = []
         for t in texts:
@@ -146,7 +147,9 @@ def encoder(path: str, style: str) -> Encoder:
     """One encoder per worker process and file."""
     if (path, style) not in _encoders:
         _encoders[path, style] = Encoder(path, style)
-    return _encoders[path, style]
+    found = _encoders[path, style]
+    claim(f"tokens {path}", found.forget)
+    return found
 
 
 def public_path(name: str) -> str:
