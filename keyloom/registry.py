@@ -248,9 +248,9 @@ def a4_shards_per_node(spark, sf_dir):
     return alive.join(owned, "address", "full").select("address", F.coalesce("owned", F.lit(0)).alias("owned"), F.coalesce("migrating", F.lit(0)).alias("migrating"))
 
 
-@query(with_views("calls") + "SELECT object_type, method, status, count(*) AS calls, round(sum(duration_us / 1000000.0::double), 4) AS seconds FROM calls GROUP BY ALL")
+@query(with_views("calls") + "SELECT object_type, method, status, count(*) AS calls, sum(duration_us)::bigint AS total_us FROM calls GROUP BY ALL")
 def a12_call_counters(spark, sf_dir):
-    return b.calls(spark, sf_dir).groupBy("object_type", "method", "status").agg(F.count("*").alias("calls"), F.round(F.sum(F.col("duration_us") / F.lit(1e6)), 4).alias("seconds"))
+    return b.calls(spark, sf_dir).groupBy("object_type", "method", "status").agg(F.count("*").alias("calls"), F.sum("duration_us").alias("total_us"))
 
 
 @query(with_views("calls") + f"SELECT method, {_BUCKETS}, count(*) AS n FROM calls GROUP BY 1")
