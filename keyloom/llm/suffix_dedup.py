@@ -79,9 +79,9 @@ def anchors(x: np.ndarray, ends: np.ndarray, length: int, k: int):
 
 
 def _anchor_rows(length: int, k: int):
-    names = ["id", "tag", "h", "lo", "at", "n", "first"]
+    names = ["id", "h", "lo", "at", "n", "first"]
 
-    def flush(ids, tags, parts, bases):
+    def flush(ids, parts, bases):
         ends = np.cumsum([len(p) for p in parts])
         text, h, lo, at, n = anchors(np.frombuffer(b"".join(parts), np.uint8), ends, length, k)
         if len(text):
@@ -90,22 +90,22 @@ def _anchor_rows(length: int, k: int):
             first = np.ones(len(h), np.int32)  # 0 where the text had the gram before
             first[order[1:]] = (h[order[1:]] != h[order[:-1]]) | (text[order[1:]] != text[order[:-1]])
             at_text = pa.array(text)
-            yield pa.RecordBatch.from_arrays([pa.array(ids).take(at_text).cast(pa.int64()), pa.array(tags).take(at_text), pa.array(h), pa.array(lo), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(first)], names)
+            yield pa.RecordBatch.from_arrays([pa.array(ids).take(at_text).cast(pa.int64()), pa.array(h), pa.array(lo), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(first)], names)
 
     def run(batches):
         claim("suffixes")
         for batch in batches:
-            ids, tags, parts, bases, held = [], [], [], [], 0
-            for i, tag, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), text_bytes(batch.column(2))):
+            ids, parts, bases, held = [], [], [], 0
+            for i, body in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1))):
                 for base in range(0, len(body) - length + 1, SEGMENT):
                     part = body[base : base + SEGMENT + length - 1]
-                    ids.append(i), tags.append(tag), parts.append(part), bases.append(base)
+                    ids.append(i), parts.append(part), bases.append(base)
                     held += len(part)
                     if held > 1_500_000:
-                        yield from flush(ids, tags, parts, bases)
-                        ids, tags, parts, bases, held = [], [], [], [], 0
+                        yield from flush(ids, parts, bases)
+                        ids, parts, bases, held = [], [], [], 0
             if parts:
-                yield from flush(ids, tags, parts, bases)
+                yield from flush(ids, parts, bases)
 
     return run
 
@@ -211,9 +211,19 @@ def _cut(length: int):
             held = 0
             for i, tag, body, places in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), text_bytes(batch.column(2)), batch.column(3).to_pylist()):
                 pieces: dict[tuple, list[int]] = {}
-                for p in places:
-                    pieces.setdefault((p["h"], p["at"], body[p["lo"] : p["lo"] + p["n"] - 1 + length]), []).append(p["lo"])
+                spans: dict[tuple, list] = {}
+                for p in sorted(places, key=lambda p: p["lo"]):
+                    runs = spans.setdefault((p["h"], p["lo"] + p["at"]), [])
+                    if runs and p["lo"] <= runs[-1][1]:  # from another text with this id: a window is in one piece of a group
+                        runs[-1][1] = max(runs[-1][1], p["lo"] + p["n"])
+                    else:
+                        runs.append([p["lo"], p["lo"] + p["n"]])
+                for (h, mid), runs in spans.items():
+                    for lo, hi in runs:
+                        pieces.setdefault((h, mid - lo, body[lo : hi - 1 + length]), []).append(lo)
                 for (h, at, part), los in pieces.items():
+                    if len(part) < length:  # the place is one of another text with this id
+                        continue
                     for column, value in zip(out, (h, i, tag, sorted(los), at, len(part) - length + 1, part)):
                         column.append(value)
                     held += len(part)
@@ -240,10 +250,10 @@ def _windows(length: int):
     def run(batches):
         for batch in batches:
             for row in range(batch.num_rows):
-                one = {c: batch.column(c)[row].as_py() for c in ("id", "tag", "los", "n", "body")}
+                one = {c: batch.column(c)[row].as_py() for c in ("h", "id", "tag", "los", "at", "n", "body")}
                 marks: dict[bytes, list[int]] = {}
                 for s in range(one["n"]):
-                    marks.setdefault(hashlib.blake2b(one["body"][s : s + length], digest_size=16).digest(), []).extend(lo + s for lo in one["los"])
+                    marks.setdefault(hashlib.blake2b(b"%d %d " % (one["h"], one["at"] - s) + one["body"][s : s + length], digest_size=16).digest(), []).extend(lo + s for lo in one["los"])
                 n = len(marks)
                 arrays = [pa.array([one[c]] * n, pa.int64()) for c in ("id", "tag")] + [pa.array(list(marks.values()), pa.list_(pa.int64())), pa.array(list(marks))]
                 yield pa.RecordBatch.from_arrays(arrays, ["id", "tag", "starts", "mark"])
@@ -266,14 +276,14 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     copied = materialize(
         marks.join(groups, "mark").select("id", "tag", F.struct("id", "tag").eqNullSafe(F.col("head")).alias("first")).distinct(), "copied"
     )
-    kind = "id long, tag long, h long, lo long, at int, n int, first int"
-    found = materialize(rows.mapInArrow(_anchor_rows(length, anchor), kind), "anchors")
+    kind = "id long, h long, lo long, at int, n int, first int"
+    found = materialize(rows.select("id", "text").mapInArrow(_anchor_rows(length, anchor), kind), "anchors")
     repeated = found.groupBy("h").agg(F.count("*").alias("n_all"), F.sum("first").alias("texts")).where("n_all > 1")
-    others = copied.where(~F.col("first"))
-    places = found.join(repeated, "h")
-    places = places.join(others, _same_row(places, others), "left_anti")
-    by_row = places.groupBy("id", "tag").agg(F.collect_set(F.struct("h", "lo", "at", "n", "texts")).alias("places"))
-    found_in = rows.join(by_row, _same_row(rows, by_row)).select(rows["id"], rows["tag"], "text", "places")
+    # Places go by id alone: texts that share an id look at each other's places too, which adds pieces and loses none.
+    by_id = found.join(repeated, "h").groupBy("id").agg(F.collect_set(F.struct("h", "lo", "at", "n", "texts")).alias("places"))
+    skip = copied.where(~F.col("first")).groupBy(F.col("id").alias("same")).agg(F.collect_set("tag").alias("skip"))
+    by_id = by_id.join(skip, by_id["id"].eqNullSafe(skip["same"]), "left").select(F.col("id").alias("same"), "places", "skip")
+    found_in = rows.join(by_id, rows["id"].eqNullSafe(by_id["same"])).where("not coalesce(array_contains(skip, tag), false)").select("id", "tag", "text", "places")
     usual = found_in.withColumn("places", F.filter("places", lambda p: p["texts"] <= hot)).where(F.size("places") > 0)
     pieces = usual.mapInArrow(_cut(length), _PIECE).repartition("h").sortWithinPartitions("h")
     spans = pieces.mapInArrow(_sorted_spans(length, PIECES), "id long, tag long, start long, end long")

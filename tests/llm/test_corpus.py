@@ -115,6 +115,8 @@ def brute_removed(pairs, length):
 
 @pytest.mark.parametrize("hot", [50_000, 3])
 def test_repeated_bytes_go(spark, docs, hot):
+    seven = docs.where("doc_id = 7").first().text  # another text with an id that stands twice already
+    docs = docs.unionByName(make(spark, [(7, "ing. " + seven[:90] + " other"), (None, "ou" + seven[3:80])]))
     cut = suffix_dedup.remove_repeats(docs, length=30, anchor=8, hot=hot)
     got = [tuple(r) for r in cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect()]
     assert sorted(got, key=str) == brute_removed([(r.doc_id, r.text) for r in docs.collect()], 30)
@@ -230,7 +232,7 @@ def test_leaks(spark, docs):
 
 
 def test_sentence_spans(spark, docs):
-    pairs = sorted([(r.doc_id, r.text or "") for r in docs.collect() if r.doc_id is not None and r.doc_id != 7])
+    pairs = sorted([(r.doc_id, r.text or "") for r in docs.collect() if r.doc_id is not None and r.doc_id != 7])  # ids stand once
     some = docs.where("doc_id is not null and doc_id <> 7")
     got = {r.doc_id: (r.n_sentences, r.n_removed, r.kept) for r in sentence_dedup.drop_repeated_spans(some).collect()}
     seen, want = set(), {}
