@@ -212,12 +212,13 @@ def _cut(length: int):
             for i, tag, body, places in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), text_bytes(batch.column(2)), batch.column(3).to_pylist()):
                 pieces: dict[tuple, list[int]] = {}
                 spans: dict[tuple, list] = {}
-                for p in sorted(places, key=lambda p: p["lo"]):
-                    runs = spans.setdefault((p["h"], p["lo"] + p["at"]), [])
-                    if runs and p["lo"] <= runs[-1][1]:  # from another text with this id: a window is in one piece of a group
-                        runs[-1][1] = max(runs[-1][1], p["lo"] + p["n"])
+                for p in sorted(places, key=lambda p: p["place"]):
+                    lo, at, n = p["place"] >> 24, p["place"] >> 12 & 4095, p["place"] & 4095
+                    runs = spans.setdefault((p["h"], lo + at), [])
+                    if runs and lo <= runs[-1][1]:  # from another text with this id: a window is in one piece of a group
+                        runs[-1][1] = max(runs[-1][1], lo + n)
                     else:
-                        runs.append([p["lo"], p["lo"] + p["n"]])
+                        runs.append([lo, lo + n])
                 for (h, mid), runs in spans.items():
                     for lo, hi in runs:
                         pieces.setdefault((h, mid - lo, body[lo : hi - 1 + length]), []).append(lo)
@@ -268,6 +269,8 @@ def _same_row(a: DataFrame, b: DataFrame):
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, anchor: int = ANCHOR, hot: int = HOT):
     """(rows, spans, copied): `rows` is (id, tag, text), tag telling rows of one id apart; `spans` (id, tag, start, end) are
     covered by repeated windows; `copied` (id, tag, first) lists rows whose whole text occurs in several rows."""
+    if length > 4095:
+        raise ValueError("length: 4,095 bytes at most")  # a place is one long: its start, then 12 bits each for `at` and `n`
     bounded_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("tag"), text.alias("text"))
@@ -279,11 +282,15 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     kind = "id long, h long, lo long, at int, n int, first int"
     found = materialize(rows.select("id", "text").mapInArrow(_anchor_rows(length, anchor), kind), "anchors")
     repeated = found.groupBy("h").agg(F.count("*").alias("n_all"), F.sum("first").alias("texts")).where("n_all > 1")
-    # Places go by id alone: texts that share an id look at each other's places too, which adds pieces and loses none.
-    by_id = found.join(repeated, "h").groupBy("id").agg(F.collect_set(F.struct("h", "lo", "at", "n", "texts")).alias("places"))
-    skip = copied.where(~F.col("first")).groupBy(F.col("id").alias("same")).agg(F.collect_set("tag").alias("skip"))
-    by_id = by_id.join(skip, by_id["id"].eqNullSafe(skip["same"]), "left").select(F.col("id").alias("same"), "places", "skip")
-    found_in = rows.join(by_id, rows["id"].eqNullSafe(by_id["same"])).where("not coalesce(array_contains(skip, tag), false)").select("id", "tag", "text", "places")
+    # Places go by id alone: texts that share an id look at each other's places too, which adds pieces and loses none. So a
+    # null id may share a key with one that is a number; a plain key keeps one partitioning for both aggregates and the join.
+    key = F.coalesce(F.col("id"), F.lit(-(1 << 63))).alias("key")
+    place = F.shiftleft("lo", 24).bitwiseOR(F.shiftleft(F.col("at").cast("long"), 12)).bitwiseOR(F.col("n")).alias("place")
+    places = found.select("h", key, place).join(repeated, "h")
+    by_key = places.groupBy("key").agg(F.collect_set(F.struct("h", "place", "texts")).alias("places"))
+    skip = copied.where(~F.col("first")).groupBy(key).agg(F.collect_set(F.struct("id", "tag")).alias("skip"))
+    mine = F.expr("not exists(coalesce(skip, array()), s -> s.id <=> id and s.tag = tag)")
+    found_in = rows.withColumn("key", key).join(by_key.join(skip, "key", "left"), "key").where(mine).select("id", "tag", "text", "places")
     usual = found_in.withColumn("places", F.filter("places", lambda p: p["texts"] <= hot)).where(F.size("places") > 0)
     pieces = usual.mapInArrow(_cut(length), _PIECE).repartition("h").sortWithinPartitions("h")
     spans = pieces.mapInArrow(_sorted_spans(length, PIECES), "id long, tag long, start long, end long")
