@@ -268,7 +268,9 @@ def _same_row(a: DataFrame, b: DataFrame):
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, anchor: int = ANCHOR, hot: int = HOT):
     """(rows, spans, copied): `rows` is (id, tag, text), tag telling rows of one id apart; `spans` (id, tag, start, end) are
-    covered by repeated windows; `copied` (id, tag, first) lists rows whose whole text occurs in several rows."""
+    covered by repeated windows; `copied` (id, tag, first) lists rows whose whole text occurs in several rows.
+
+    `length` is at most 4,095 bytes; a larger one raises ValueError."""
     if length > 4095:
         raise ValueError("length: 4,095 bytes at most")  # a place is one long: its start, then 12 bits each for `at` and `n`
     bounded_batches(docs.sparkSession)
