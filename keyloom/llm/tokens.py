@@ -8,6 +8,7 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from codecs import charmap_decode
 
 import numpy as np
 import regex
@@ -26,11 +27,11 @@ _PIECES = {
 _LATIN = re.compile("[\n\x20-\x7e\xa1-\u012f\u0131-\u017f]*")
 
 
-def _spelling() -> dict[int, str]:
+def _spelling() -> str:
     """The characters that stand for bytes in byte-level vocabularies: printable ones for themselves, others from 256 up."""
     shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    others = (b for b in range(256) if b not in shown)
-    return {b: chr(b) for b in shown} | {b: chr(256 + n) for n, b in enumerate(others)}
+    others = [b for b in range(256) if b not in shown]
+    return "".join(chr(b if b in shown else 256 + others.index(b)) for b in range(256))
 
 
 _SPELLING = _spelling()
@@ -75,11 +76,13 @@ class Encoder:
             return None
         if self.style == "word":
             chunk = body = body.lower()
-        return [chunk] if body.isalpha() else self.pieces(chunk)
+        if body.isalpha():
+            return [chunk]
+        return [chunk[:-1], chunk[-1]] if body[:-1].isalpha() else self.pieces(chunk)  # a word and one sign or digit
 
     def _merge(self, piece: str) -> bytes:
         """The ids of a new piece, from the file's merge model alone."""
-        spelled = piece if piece.isascii() and piece[0] != " " and "\n" not in piece else piece.encode().decode("latin-1").translate(_SPELLING)
+        spelled = charmap_decode(piece.encode(), "strict", _SPELLING)[0]
         ids = self.known[piece] = array(self.kind.char, [t.id for t in self.merge(spelled)]).tobytes()
         return ids
 
@@ -131,7 +134,7 @@ class Encoder:
             at = np.fromiter(map(self.index.__getitem__, every), np.int64, len(every))
         except KeyError:
             known = self.index
-            self._learn([c for c in dict.fromkeys(every) if c not in known])
+            self._learn(list(set(every).difference(known)))
             at = np.fromiter(map(self.index.__getitem__, every), np.int64, len(every))
         sizes = self.sizes[at].astype(np.int64)
         ids = self.ids[ragged(self.starts[at], sizes)]
