@@ -387,3 +387,40 @@ def z18_grid_layout(spark, sf_dir):
 def s15_table_counts(spark, sf_dir):
     counts = [b.table(spark, sf_dir, t).agg(F.lit(t).alias("name"), F.count("*").alias("n")) for t in ("lineitem", "orders", "events")]
     return counts[0].unionByName(counts[1]).unionByName(counts[2])
+
+
+@query(with_views("shards", "nodes") + "SELECT target_node AS address, count(*) AS shards FROM shards SEMI JOIN (SELECT address FROM nodes WHERE alive) ON address = target_node GROUP BY 1")
+def a5_shards_per_target(spark, sf_dir):
+    alive = F.broadcast(b.nodes(spark).where("alive").select(F.col("address").alias("target_node")))  # a handful of rows
+    return b.shards(spark).join(alive, "target_node", "left_semi").groupBy(F.col("target_node").alias("address")).agg(F.count("*").alias("shards"))
+
+
+@query(with_views("objects") + "SELECT coalesce(nullif(object_type, ''), 'Unknown') AS object_type, count(*) AS n FROM objects GROUP BY 1")
+def a6_objects_by_type(spark, sf_dir):
+    kind = F.coalesce(F.expr("nullif(object_type, '')"), F.lit("Unknown")).alias("object_type")
+    return b.objects(spark, sf_dir).groupBy(kind).agg(F.count("*").alias("n"))
+
+
+@query(with_views("shards") + "SELECT target_node AS address FROM shards WHERE target_node <> '' UNION SELECT current_node FROM shards WHERE current_node <> ''")
+def a9_node_set(spark, sf_dir):
+    return b.shards(spark).select(F.explode(F.array("target_node", "current_node")).alias("address")).where("address <> ''").distinct()
+
+
+@query(with_views("calls") + "SELECT object_id, arg_max(duration_us, seq) AS last_us, sum(CASE WHEN status = 'failure' THEN -1 ELSE 1 END)::bigint AS level FROM calls GROUP BY 1")
+def a13_gauges(spark, sf_dir):
+    signed = F.when(F.col("status") == "failure", -1).otherwise(1)
+    return b.calls(spark, sf_dir).groupBy("object_id").agg(F.max_by("duration_us", "seq").alias("last_us"), F.sum(signed).alias("level"))
+
+
+@query(with_views("calls") + f"SELECT {_SHARD} AS shard, count(*) AS calls FROM calls GROUP BY 1")
+def a16_calls_per_shard(spark, sf_dir):
+    return b.calls(spark, sf_dir).groupBy(ids.shard_id(F.col("object_id")).alias("shard")).agg(F.count("*").alias("calls"))
+
+
+@query(with_views("shard_events") + """, e AS (SELECT shard, mod_revision, op, lag(op) OVER (PARTITION BY shard ORDER BY mod_revision) AS before FROM shard_events)
+  SELECT shard, mod_revision, CASE WHEN op = 'DELETE' THEN 'removed' WHEN before = 'PUT' THEN 'updated' ELSE 'added' END AS change FROM e WHERE op <> 'DELETE' OR before = 'PUT'""")
+def r11_change_kinds(spark, sf_dir):
+    """Added at the first put and after a removal, updated at later puts; a removal counts only if the key was there."""
+    before = F.lag("op").over(Window.partitionBy("shard").orderBy("mod_revision"))
+    e = b.shard_events(spark, sf_dir).select("shard", "mod_revision", "op", before.alias("before")).where("op <> 'DELETE' or before = 'PUT'")
+    return e.select("shard", "mod_revision", F.when(F.col("op") == "DELETE", "removed").when(F.col("before") == "PUT", "updated").otherwise("added").alias("change"))
