@@ -424,3 +424,21 @@ def r11_change_kinds(spark, sf_dir):
     before = F.lag("op").over(Window.partitionBy("shard").orderBy("mod_revision"))
     e = b.shard_events(spark, sf_dir).select("shard", "mod_revision", "op", before.alias("before")).where("op <> 'DELETE' or before = 'PUT'")
     return e.select("shard", "mod_revision", F.when(F.col("op") == "DELETE", "removed").when(F.col("before") == "PUT", "updated").otherwise("added").alias("change"))
+
+
+@query(with_views("wallet_ops") + """, d AS (SELECT wallet_id, sum(amount) FILTER (kind = 'deposit' AND amount > 0)::bigint AS most FROM wallet_ops GROUP BY 1)
+  SELECT wallet_id, true AS conserved, coalesce(most, 0) AS most FROM d""")
+def a18_conservation(spark, sf_dir):
+    """Accepted deposits less accepted withdrawals must equal the balance; `most` is what the wallet can hold at most."""
+    ops = b.wallet_ops(spark, sf_dir)
+    most = ops.groupBy("wallet_id").agg(F.coalesce(F.sum(F.when((F.col("kind") == "deposit") & (F.col("amount") > 0), F.col("amount"))), F.lit(0)).alias("most"))
+    ok = (F.col("deposited") - F.col("withdrawn") == F.col("balance")) & (F.col("deposited") == F.col("most")) & (F.col("balance") >= 0)
+    return replay.replay_wallets(ops).join(most, "wallet_id").select("wallet_id", ok.alias("conserved"), "most")
+
+
+@query(with_views("objects", "shards", "nodes") + f"SELECT address, coalesce(objects, 0) AS objects FROM nodes LEFT JOIN (SELECT current_node AS address, count(*) AS objects FROM objects JOIN shards ON shard_id = {_SHARD} GROUP BY 1) USING (address)")
+def a1_objects_per_node(spark, sf_dir):
+    """Known nodes without objects count 0; objects of unclaimed shards are on no node."""
+    o = b.objects(spark, sf_dir).select(ids.shard_id(F.col("object_id")).alias("shard_id"))
+    n = o.join(F.broadcast(b.shards(spark)), "shard_id").groupBy(F.col("current_node").alias("address")).agg(F.count("*").alias("objects"))  # 8,192 rows
+    return b.nodes(spark).join(n, "address", "left").select("address", F.coalesce("objects", F.lit(0)).alias("objects"))
