@@ -1,7 +1,7 @@
-"""Corpus pipeline: language ID, SimHash near-dedup, suffix-array dedup, benchmark decontamination, best-fit packing.
+"""Corpus pipeline: language ID, near-dedup by exact Jaccard, suffix-array dedup, benchmark decontamination, best-fit packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept. All but the last return the columns of
-`docs`. Rows whose doc_id is null are kept by the two stages that compare ids (they cannot be told apart)."""
+`docs`. Decontamination keeps rows whose doc_id is null (they cannot be told apart)."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.llm import decontaminate, language, packing, simhash, suffix_dedup
+from keyloom.llm import decontaminate, language, near_copies, packing, suffix_dedup
 from keyloom.llm._shared import materialize
 
 MIN_SCORE = 0.4  # least mean probability of a text's language
@@ -24,15 +24,27 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the row with the smallest doc_id of every component; of rows that repeat that doc_id, one."""
-    groups = simhash.near_duplicates(docs.where(F.col("doc_id").isNotNull()))
-    gone = groups.where("doc_id != component_id").select("doc_id").distinct()
-    twice = materialize(docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"), "repeated-ids")
-    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Keeps one row of every component of near copies (five-word Jaccard of 0.8 or more): that with the smallest doc_id.
+
+    A row is named by its doc_id and a hash of its text; null ids come after all others, then the hash decides. Of rows
+    equal in both, one stays."""
+    rows = materialize(near_copies.near_copies(docs), "near-copies")
+    place = F.struct(F.col("id").isNull().alias("none"), "id", "tag")
+    heads = rows.groupBy("component").agg(F.min(place).alias("head"), F.count("*").alias("n")).where("n > 1")
+    grouped = rows.join(heads, "component")
+    gone = grouped.where(~place.eqNullSafe(F.col("head"))).select("id", "tag").distinct()
+    twice = grouped.where(place.eqNullSafe(F.col("head"))).groupBy("id", "tag").count().where("count > 1").select("id", "tag")
+    twice = materialize(twice, "repeated-rows")
+    tag = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+
+    def named(some: DataFrame):
+        return docs["doc_id"].eqNullSafe(some["id"]) & (tag == some["tag"])
+
+    left = docs.join(gone, named(gone), "left_anti").select(*docs.columns)
     if twice.isEmpty():
         return left
-    again = left.join(twice, "doc_id").select(*docs.columns).dropDuplicates(["doc_id"])
-    return left.join(twice, "doc_id", "left_anti").select(*docs.columns).unionByName(again)
+    again = left.join(twice, named(twice), "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    return left.join(twice, named(twice), "left_anti").select(*docs.columns).unionByName(again)
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

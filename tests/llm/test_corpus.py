@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from keyloom.llm import decontaminate, language, licenses, media, packing, quality, sentence_dedup, simhash, suffix_dedup, tokens, wavelet
+from keyloom.llm import decontaminate, language, licenses, media, near_copies, packing, quality, sentence_dedup, simhash, suffix_dedup, tokens, wavelet
 from keyloom.llm._shared import components, running_start
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp string, tag string, spans string"
@@ -333,3 +333,52 @@ def test_pipeline_stages(spark, tmp_path):
         if name == "decontamination":
             assert decontaminate.leaks(docs, spark.read.parquet(f"{sf}/benchmark.parquet")).count() == 0
     assert sizes[0] >= 190 and all(a >= b > 0 for a, b in zip(sizes[:4], sizes[1:4]))
+
+
+def jaccard(a, b):
+    def grams(t):
+        w = t.lower().split()
+        k = min(5, len(w))
+        return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}
+
+    return len(grams(a) & grams(b)) / len(grams(a) | grams(b))
+
+
+@pytest.mark.parametrize("cell", [16_000_000, 3_000])
+def test_near_copies_equal_brute_force(spark, cell):
+    r = random.Random(8)
+    words = [f"w{i}" for i in range(3000)]
+    pairs = []
+    for i in range(40):  # near copies on both sides of 0.8, most far over four bits apart
+        base = r.choices(words, k=r.randint(60, 250))
+        pairs.append((10 * i, " ".join(base)))
+        for c in range(1, 4):
+            base = list(base)
+            for _ in range(max(1, len(base) * r.randint(1, 5) // 150)):
+                base[r.randrange(len(base))] = r.choice(words)
+            pairs.append((10 * i + c, " ".join(base)))
+    pairs += [(900, "a b c"), (901, "A  b\nc"), (902, "a b d"), (903, ""), (904, None)]
+    group = {i: i for i, _ in pairs}
+    linked = 0
+    for i, t in pairs:
+        for j, u in pairs:
+            if i < j and ((not t and not u) or (t and u and jaccard(t, u) >= 0.8)):
+                linked += 1
+                low, high = sorted((group[i], group[j]))
+                group = {k: low if g == high else g for k, g in group.items()}
+    assert linked > 50
+    got = {}
+    for x in near_copies.near_copies(make(spark, pairs), cell=cell).collect():
+        got.setdefault(x.component, set()).add(x.id)
+    assert sorted(map(sorted, got.values())) == sorted(sorted(i for i in group if group[i] == g) for g in set(group.values()))
+
+
+def test_near_dedup_stage_keeps_the_first_copy(spark):
+    import corpus_pipeline as c
+
+    base = [f"w{i}" for i in range(100)]
+    near = base[:30] + ["x"] + base[31:70] + ["y"] + base[71:]  # Jaccard 0.81
+    assert 0.8 <= jaccard(" ".join(base), " ".join(near)) < 0.9
+    docs = make(spark, [(5, " ".join(near)), (2, " ".join(base)), (3, "other words"), (3, "different text of one id"), (None, " ".join(base)), (4, "same row"), (4, "same row")])
+    got = sorted((r.doc_id, r.text) for r in c.drop_near_duplicates(spark, docs, "").collect())
+    assert got == [(2, " ".join(base)), (3, "different text of one id"), (3, "other words"), (4, "same row")]
