@@ -44,7 +44,7 @@ def op7_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = sentence_dedup.drop_repeated_spans(_table(spark, sf_dir, "documents"))
+    cut = sentence_dedup.drop_repeated_spans(_table(spark, sf_dir, "documents"), run=2, short=True)
     return cut.select("doc_id", "n_sentences", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 

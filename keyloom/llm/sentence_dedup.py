@@ -31,17 +31,21 @@ def sentences(text: str) -> list[str]:
     return out
 
 
-def span_marks(text: str, run: int) -> list[bytes]:
-    """A 16-byte digest of every run of sentences, compared in lower case and without regard to white space."""
+def span_marks(text: str, run: int, short: bool = False) -> list[bytes]:
+    """A 16-byte digest of every run of sentences, compared in lower case and without regard to white space.
+
+    With `short`, a non-blank text of fewer sentences is one run."""
     plain = [" ".join(s.lower().split()).encode("utf-8", "surrogatepass") for s in sentences(text)]
+    if short and any(plain):
+        run = min(run, len(plain))
     return [hashlib.blake2b(b"\n".join(plain[i : i + run]), digest_size=16).digest() for i in range(len(plain) - run + 1)]
 
 
-def drop_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN) -> DataFrame:
+def drop_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, short: bool = False) -> DataFrame:
     """Per row: id, n_sentences, n_removed and kept (the text without the removed sentences).
 
-    First is the run with the smallest (id, hash of the text, place). Texts of fewer than `run` sentences keep all. Null
-    texts count as empty. Null ids come before all others. Rows with the same id and text have the same runs, of which the
+    First is the run with the smallest (id, hash of the text, place). Texts of fewer than `run` sentences keep all;
+    with `short`, each is one run, so whole copies of them go but the first. Null texts count as empty. Null ids come before all others. Rows with the same id and text have the same runs, of which the
     first stays in each of them. Other columns are not read."""
     bounded_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -52,7 +56,7 @@ def drop_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             out: list[list] = [[] for _ in range(4)]
             for i, tag, body in zip(*(c.to_pylist() for c in batch.columns)):
                 places: dict[bytes, list[int]] = {}
-                for n, mark in enumerate(span_marks(body, run)):
+                for n, mark in enumerate(span_marks(body, run, short)):
                     places.setdefault(mark, []).append(n)
                 out[0] += [i] * len(places)
                 out[1] += [tag] * len(places)
@@ -73,7 +77,7 @@ def drop_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             counts, gone, kept = [], [], []
             for body, places in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 parts = sentences(body)
-                out = {p + k for p in places or () for k in range(run)}
+                out = {p + k for p in places or () for k in range(min(run, len(parts)))}
                 counts.append(len(parts)), gone.append(len(out))
                 kept.append("".join(s for n, s in enumerate(parts) if n not in out))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], [id_col, "n_sentences", "n_removed", "kept"])

@@ -382,3 +382,25 @@ def test_near_dedup_stage_keeps_the_first_copy(spark):
     docs = make(spark, [(5, " ".join(near)), (2, " ".join(base)), (3, "other words"), (3, "different text of one id"), (None, " ".join(base)), (4, "same row"), (4, "same row")])
     got = sorted((r.doc_id, r.text) for r in c.drop_near_duplicates(spark, docs, "").collect())
     assert got == [(2, " ".join(base)), (3, "different text of one id"), (3, "other words"), (4, "same row")]
+
+
+def test_short_texts_and_two_sentences(spark):
+    pairs = [(1, "one text of one sentence"), (2, "One  text of one sentence"), (3, "A b c. D e f. Own end."), (4, "Own start. A b c. D e f."), (5, " "), (6, " ")]
+    got = {r.doc_id: (r.n_removed, r.kept) for r in sentence_dedup.drop_repeated_spans(make(spark, pairs), run=2, short=True).collect()}
+    assert got == {1: (0, pairs[0][1]), 2: (1, ""), 3: (0, pairs[2][1]), 4: (2, "Own start. "), 5: (0, " "), 6: (0, " ")}
+
+
+def test_sentence_query_cuts_short_copies(spark):
+    from keyloom.llm import queries
+
+    sf = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    got = {r.doc_id: r for r in queries.op8_sentence_spans(spark, sf).collect()}
+    seen, copies = set(), 0
+    for r in sorted(docs, key=lambda r: r.doc_id):
+        text = (r.text or "").strip()
+        if text and text in seen and len(sentence_dedup.sentences(r.text)) < 3:
+            copies += 1
+            assert got[r.doc_id].n_removed == got[r.doc_id].n_sentences
+        seen.add(text)
+    assert copies > 0
