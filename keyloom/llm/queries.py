@@ -13,9 +13,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents have no paths: source, then thousands, then twenties of doc_id stand for directories."""
-    path = F.concat_ws("/", F.col("source"), F.floor(F.col("doc_id") / 1000), F.floor(F.col("doc_id") / 20), F.col("doc_id"))
-    return licenses.scan(_table(spark, sf_dir, "documents"), path)
+    """The documents have no paths: source, then 5,000s, 500s and 50s of doc_id stand for directories.
+
+    Ids that 63, 21 or 7 divides lie in the directory of the source, of the 5,000 or of the 500, so that directories above
+    others hold files; all others lie in the lowest."""
+    i = F.col("doc_id")
+    tops = [F.when(i % step != 0, F.floor(i / size)) for step, size in ((63, 5000), (21, 500), (7, 50))]
+    return licenses.scan(_table(spark, sf_dir, "documents"), F.concat_ws("/", "source", *tops, i))
 
 
 def op2_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -384,6 +384,27 @@ def test_near_dedup_stage_keeps_the_first_copy(spark):
     assert got == [(2, " ".join(base)), (3, "different text of one id"), (3, "other words"), (4, "same row")]
 
 
+def test_license_query_inherits_over_levels(spark):
+    from keyloom.llm import queries
+
+    got = queries.op1_license_scan(spark, "/root/testdata/sf0.01").collect()
+    files = {}
+    for r in got:
+        files.setdefault(r.path.rpartition("/")[0], []).append(r)
+    levels = Counter()
+    for r in got:
+        at = r.path.rpartition("/")[0]
+        chain = [at[:n] for n in range(len(at), 0, -1) if n == len(at) or at[n] == "/"]
+        holder = next((d for d in chain if any(f.origin == "own" for f in files.get(d, []))), None)
+        if r.origin == "own":
+            continue
+        assert (r.origin, r.from_dir) == (("inherited", holder) if holder else ("none", None))
+        if holder:
+            assert r.license in {f.license for f in files[holder] if f.origin == "own"}
+            levels[holder.count("/"), at.count("/") - holder.count("/")] += 1
+    assert len({depth for depth, _ in levels}) > 1 and any(up > 0 for _, up in levels)
+
+
 def test_short_texts_and_two_sentences(spark):
     pairs = [(1, "one text of one sentence"), (2, "One  text of one sentence"), (3, "A b c. D e f. Own end."), (4, "Own start. A b c. D e f."), (5, " "), (6, " ")]
     got = {r.doc_id: (r.n_removed, r.kept) for r in sentence_dedup.drop_repeated_spans(make(spark, pairs), run=2, short=True).collect()}
