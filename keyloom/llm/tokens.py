@@ -9,6 +9,8 @@ import os
 import re
 from array import array
 from codecs import charmap_decode
+from collections import defaultdict
+from itertools import count, islice
 
 import numpy as np
 import regex
@@ -36,7 +38,8 @@ def _spelling() -> str:
 
 _SPELLING = _spelling()
 _BETWEEN = re.compile(r"(?<=\S) (?=\S)")
-_RARE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
+# White space other than the blank and the line end.
+_RARE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _BESIDE = re.compile(r"(?:^|\s) | (?:\s|$)")
 
 
@@ -63,16 +66,16 @@ class Encoder:
 
     def forget(self):
         self.known.clear()
-        self.index: dict[str, int] = {}
+        self.index: dict = defaultdict(count().__next__)  # a chunk that is met for the first time takes the next number
         self.starts, self.sizes, self.ids, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), np.zeros(1 << 18, self.kind), 0
 
     def _split(self, chunk: str) -> list[str] | None:
         """The pre-tokenizer's pieces of a Latin chunk; None for others, which go through the whole tokenizer."""
         body = chunk[1:] if chunk[:1] == " " else chunk
-        if body.isascii():
-            if not (body.isprintable() or body.replace("\n", "").isprintable()) or "<|" in body:
+        if not body.isascii():
+            if not _LATIN.fullmatch(body) or "<|" in body:
                 return None
-        elif not _LATIN.fullmatch(body) or "<|" in body:
+        elif not body.isalpha() and (not (body.isprintable() or body.replace("\n", "").isprintable()) or "<|" in body):
             return None
         if self.style == "word":
             chunk = body = body.lower()
@@ -87,27 +90,32 @@ class Encoder:
         return ids
 
     def _learn(self, keys: list):
+        """Encodes chunks that have just been numbered, in order of their numbers."""
         if len(self.known) > PIECES:
             self.known.clear()
-        chunks = [k[0] if isinstance(k, tuple) else " " + k for k in keys] if self.style == "byte" else keys
-        split = [self._split(c) for c in chunks]
-        known, merge, whole = self.known, self._merge, self.tokenizer.encode
-        found = [
-            np.array(whole(c, add_special_tokens=False).ids, self.kind).tobytes() if pieces is None else b"".join([known.get(p) or merge(p) for p in pieces])
-            for c, pieces in zip(chunks, split)
-        ]
+        blank = " " if self.style == "byte" else ""
+        known, merge, split, whole = self.known, self._merge, self._split, self.tokenizer.encode
+        found = []
+        for k in keys:
+            chunk = k[0] if k.__class__ is tuple else blank + k
+            pieces = split(chunk)
+            if pieces is None:
+                found.append(np.array(whole(chunk, add_special_tokens=False).ids, self.kind).tobytes())
+            elif len(pieces) == 1:
+                found.append(known.get(pieces[0]) or merge(pieces[0]))
+            else:
+                found.append(b"".join([known.get(p) or merge(p) for p in pieces]))
         sizes = np.fromiter(map(len, found), np.int32, len(found)) // self.kind.itemsize
         flat = np.frombuffer(b"".join(found), self.kind)
         n = len(self.index)
-        while n + len(keys) > len(self.starts):
+        while n > len(self.starts):
             self.starts, self.sizes = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.sizes, 2 * len(self.sizes))
         while self.used + len(flat) > len(self.ids):
             self.ids = np.resize(self.ids, 2 * len(self.ids))
-        self.sizes[n : n + len(keys)] = sizes
-        self.starts[n : n + len(keys)] = self.used + np.cumsum(sizes) - sizes
+        self.sizes[n - len(keys) : n] = sizes
+        self.starts[n - len(keys) : n] = self.used + np.cumsum(sizes) - sizes
         self.ids[self.used : self.used + len(flat)] = flat
         self.used += len(flat)
-        self.index.update(zip(keys, range(n, n + len(keys))))
 
     def _keys(self, text: str) -> list:
         """A text's chunks; those of "byte" files are kept without their leading space, and the first as a tuple."""
@@ -115,7 +123,7 @@ class Encoder:
             return text.replace("\n", " ").split(" ")
         if not text:
             return []
-        odd = _BESIDE.search(text) if not text.isascii() or any(map(text.__contains__, _RARE)) else text[0] == " " or text[-1] == " " or "  " in text or " \n" in text or "\n " in text
+        odd = text[0] == " " or text[-1] == " " or "  " in text or " \n" in text or "\n " in text or (_RARE.search(text) and _BESIDE.search(text))
         parts = _BETWEEN.split(text) if odd else text.split(" ")
         parts[0] = (parts[0],)
         return parts
@@ -130,12 +138,10 @@ class Encoder:
             keys = self._keys(t)
             counts.append(len(keys))
             every += keys
-        try:
-            at = np.fromiter(map(self.index.__getitem__, every), np.int64, len(every))
-        except KeyError:
-            known = self.index
-            self._learn(list(set(every).difference(known)))
-            at = np.fromiter(map(self.index.__getitem__, every), np.int64, len(every))
+        before = len(self.index)
+        at = np.fromiter(map(self.index.__getitem__, every), np.int64, len(every))
+        if new := len(self.index) - before:
+            self._learn(list(islice(reversed(self.index), new))[::-1])
         sizes = self.sizes[at].astype(np.int64)
         ids = self.ids[ragged(self.starts[at], sizes)]
         edges = np.concatenate(([0], np.cumsum(sizes)))
