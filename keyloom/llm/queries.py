@@ -48,13 +48,14 @@ def op7_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = sentence_dedup.drop_repeated_spans(_table(spark, sf_dir, "documents"), run=2, short=True)
+    cut = sentence_dedup.drop_repeated_spans(_table(spark, sf_dir, "documents"))
     return cut.select("doc_id", "n_sentences", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
-    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    text = F.expr("make_valid_utf8(cast(kept as string))")  # bytes of a character that was cut through become U+FFFD
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), text.alias("text"))
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -231,21 +231,48 @@ def test_leaks(spark, docs):
     assert got == want
 
 
-def test_sentence_spans(spark, docs):
-    pairs = sorted([(r.doc_id, r.text or "") for r in docs.collect() if r.doc_id is not None and r.doc_id != 7])  # ids stand once
-    some = docs.where("doc_id is not null and doc_id <> 7")
-    got = {r.doc_id: (r.n_sentences, r.n_removed, r.kept) for r in sentence_dedup.drop_repeated_spans(some).collect()}
-    seen, want = set(), {}
-    for i, t in pairs:
-        assert "".join(sentence_dedup.sentences(t)) == t
+def brute_spans(pairs, run, least):
+    """(n_sentences, n_removed, kept) by id: pieces cut by hand, runs compared as lists of words."""
+    seen, out = set(), {}
+    for i, t in sorted(pairs):
+        parts, piece, signs = [], "", False
+        for k, c in enumerate(t):
+            if signs and not (c.isspace() or (c in ".!?,;:" and t[k - 1] in ".!?,;:")):
+                parts.append(piece)
+                piece, signs = "", False
+            piece += c
+            signs = signs or c in ".!?,;:\n"
+        if piece:
+            parts.append(piece)
+        if len(parts) > 1 and not parts[-1].strip():
+            parts[-2:] = [parts[-2] + parts[-1]]
+        words = [p.lower().split() for p in parts]
+        spans = []
+        for a in range(len(parts)):
+            b = next((b for b in range(a + run, len(parts) + 1) if sum(map(len, words[a:b])) >= least), None)
+            if b is None:
+                break
+            spans.append((a, b))
+        if not spans and any(words):
+            spans = [(0, len(parts))]
         gone = set()
-        for n, mark in enumerate(sentence_dedup.span_marks(t, 3)):
-            if mark in seen:
-                gone |= {n, n + 1, n + 2}
-            seen.add(mark)
-        parts = sentence_dedup.sentences(t)
-        want[i] = (len(parts), len(gone), "".join(s for n, s in enumerate(parts) if n not in gone))
-    assert got == want
+        for a, b in spans:
+            key = tuple(map(tuple, words[a:b]))
+            if key in seen:
+                gone |= set(range(a, b))
+            seen.add(key)
+        out[i] = (len(parts), len(gone), "".join(p for n, p in enumerate(parts) if n not in gone))
+    return out
+
+
+@pytest.mark.parametrize("least", [4, 25])
+def test_sentence_spans(spark, docs, least):
+    some = docs.where("doc_id is not null and doc_id <> 7")  # ids stand once
+    long = "Lorem, ipsum dolor; " * 40_000 + "and an end of its own."
+    some = some.unionByName(make(spark, [(990, "one text of one sentence"), (991, "One  text of one sentence"), (992, long), (993, long)]))
+    got = {r.doc_id: (r.n_sentences, r.n_removed, r.kept) for r in sentence_dedup.drop_repeated_spans(some, least=least).collect()}
+    assert got == brute_spans([(r.doc_id, r.text or "") for r in some.collect()], 2, least)
+    assert got[991] == (1, 1, "") and got[993][2] == ""
 
 
 def test_kneser_ney(spark, docs):
@@ -405,12 +432,6 @@ def test_license_query_inherits_over_levels(spark):
     assert len({depth for depth, _ in levels}) > 1 and any(up > 0 for _, up in levels)
 
 
-def test_short_texts_and_two_sentences(spark):
-    pairs = [(1, "one text of one sentence"), (2, "One  text of one sentence"), (3, "A b c. D e f. Own end."), (4, "Own start. A b c. D e f."), (5, " "), (6, " ")]
-    got = {r.doc_id: (r.n_removed, r.kept) for r in sentence_dedup.drop_repeated_spans(make(spark, pairs), run=2, short=True).collect()}
-    assert got == {1: (0, pairs[0][1]), 2: (1, ""), 3: (0, pairs[2][1]), 4: (2, "Own start. "), 5: (0, " "), 6: (0, " ")}
-
-
 def test_sentence_query_cuts_short_copies(spark):
     from keyloom.llm import queries
 
