@@ -50,3 +50,42 @@ def decide(rules: list[Rule], type_: Column, id_: Column, method: Column, defaul
         hit = matches(type_, r.type) & matches(id_, r.id) & matches(method, r.method)
         out = F.when(hit, r.access) if out is None else out.when(hit, r.access)
     return F.lit(default) if out is None else out.otherwise(default)
+
+
+class LifecycleRule(NamedTuple):
+    type: str
+    id: str
+    operation: str  # CREATE, DELETE or ALL
+    access: str
+
+
+def decide_lifecycle(rules: list[LifecycleRule], operation: str, type_: Column, id_: Column) -> Column:
+    """The access level of the first rule for the operation that matches; by default all may create and nodes may delete."""
+    mine = [Rule(r.type, r.id, "", r.access) for r in rules if r.operation in (operation, "ALL")]
+    return decide(mine, type_, id_, F.lit(""), default="ALLOW" if operation == "CREATE" else "INTERNAL")
+
+
+def client_may(access: Column) -> Column:
+    return access.isin("ALLOW", "EXTERNAL")
+
+
+def node_may(access: Column) -> Column:
+    return access.isin("ALLOW", "INTERNAL")
+
+
+def error_kind(message: Column) -> Column:
+    """timeout, connection_error or other: whole messages first, then parts of them, in this order."""
+    lost = ("connection refused", "connection reset", "broken pipe", "no such host", "network is unreachable", "client not connected")
+    out = F.when(message.isin("context deadline exceeded", "context canceled"), "timeout")
+    for part in lost:
+        out = out.when(message.contains(part), "connection_error")
+    return out.when(message.contains("deadline exceeded"), "timeout").otherwise("other")
+
+
+def first_missing(**fields: Column) -> Column:
+    """The name of the first field that is null or empty; null if none is."""
+    out = None
+    for name, value in fields.items():
+        hit = F.coalesce(value, F.lit("")) == ""
+        out = F.when(hit, name) if out is None else out.when(hit, name)
+    return out

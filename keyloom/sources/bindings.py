@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,10 +90,73 @@ def shard_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("user_id").alias("shard"), (F.col("event_id") + 1).alias("mod_revision"), F.concat(F.lit("node-"), F.get_json_object("props", "$.k").cast("long") % 4).alias("current_node"), F.when(F.col("event_type") == "error", "DELETE").otherwise("PUT").alias("op"), micros("ts").alias("ts_us"))
 
 
+def call_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored calls: seq, ts_us, call_id, object_id, object_type, method, status, result, error. Some rows break the log's rules."""
+    e = table(spark, sf_dir, "events")
+    k = F.get_json_object("props", "$.k")
+    return e.select(
+        (F.col("event_id") + 1).alias("seq"),
+        micros("ts").alias("ts_us"),
+        F.concat(F.lit("User-"), "user_id", F.lit("-"), k).alias("call_id"),
+        F.concat(F.lit("User-"), "user_id").alias("object_id"),
+        F.expr("element_at(array('Counter', 'Wallet', 'ChatRoom', 'Player'), cast(user_id % 4 as int) + 1)").alias("object_type"),
+        F.col("event_type").alias("method"),
+        F.expr("element_at(array('pending', 'success', 'failed', 'skipped', 'success', 'lost'), cast(event_id % 6 as int) + 1)").alias("status"),
+        F.when((F.col("event_id") % 6).isin(1, 4) & (F.col("event_id") % 11 != 0), F.concat(F.lit("r"), k)).alias("result"),
+        F.when((F.col("event_id") % 6).isin(2, 3) & (F.col("event_id") % 13 != 0), F.concat(F.lit("e"), k)).alias("error"),
+        F.col("user_id"),
+    )
+
+
+def ownership(spark: SparkSession) -> DataFrame:
+    """Ownership with holes: some shards have no row, some no target."""
+    s = shards(spark).where("shard_id % 89 <> 0")
+    return s.withColumn("target_node", F.when(F.col("shard_id") % 83 == 0, "").otherwise(F.col("target_node")))
+
+
+def owner_texts(spark: SparkSession) -> DataFrame:
+    """Ownership as texts of four shapes: flags anywhere, white space of all kinds, a very long flag, parts missing."""
+    i, t, c = F.col("shard_id") % 4, F.col("target_node"), F.col("current_node")
+    value = (
+        F.when(i == 0, F.concat(F.lit(" "), t, F.lit(", f= pinned ,"), c, F.lit(", f=,extra")))
+        .when(i == 1, F.concat(t, F.lit(",f=a" + "z" * 1200 + ",f=b")))
+        .when(i == 2, F.concat(F.lit("\u00a0f=p,\t"), t, F.lit("\u3000,"), c))
+        .otherwise(F.concat(t, F.lit(",,f=pinned")))
+    )
+    return shards(spark).select("shard_id", value.alias("value"))
+
+
+def gates(spark: SparkSession) -> DataFrame:
+    """Gates: gate-1 is dead, gate-2 not configured."""
+    i = F.col("id")
+    return spark.range(3).select(F.concat(F.lit("gate-"), i).alias("address"), (i != 2).alias("configured"), (i != 1).alias("alive"))
+
+
+def links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls between gates and nodes: seq, ts_us, source, target."""
+    u = F.col("user_id")
+    return calls(spark, sf_dir).select("seq", "ts_us", F.concat(F.lit("gate-"), u % 2).alias("source"), F.concat(F.lit("node-"), u % 5).alias("target"))
+
+
+def table_counts(spark: SparkSession, sf_dir: str, names: list[str]) -> DataFrame:
+    """(name, n, problem) of tables: a name that is none is invalid, one that is not in TABLES is missing."""
+    frames = []
+    for name in names:
+        problem = "invalid name" if not re.fullmatch(r"[A-Za-z_]\w*", name) else None if name in TABLES else "missing"
+        rows = spark.range(1).select(F.lit(None).cast("long").alias("n")) if problem else table(spark, sf_dir, name).agg(F.count("*").alias("n"))
+        frames.append(rows.select(F.lit(name).alias("name"), "n", F.lit(problem).cast("string").alias("problem")))
+    return functools.reduce(DataFrame.unionByName, frames)
+
+
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "conversations")
+ID_VECTORS = ["", "q", "room-9", "shard#12/x", "shard#-4/x", "shard#0031/x", "shard#+8/x", "shard#88888/x", "shard#xyz/x", "shard#/y", "shard#77", "shard#8191/", "/left", "h:1/z", "host:8100/thing"]
+ID_VECTORS += ["shards#5/a", "shard# 9/a", "shard#1.5/a", "shard#6/a/b", "shard#000000000000000000000042/x", "shard#99999999999999999999/x", "n\u00e4me-\u540d"]
+
+
 def id_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Object ids of all kinds, well-formed and not."""
     p = table(spark, sf_dir, "part")
-    fixed = ["", "a", "foobar", "shard#5/x", "shard#-1/x", "shard#007/x", "shard#+7/x", "shard#99999/x", "shard#abc/x", "shard#/x", "shard#5", "shard#10/", "/x", "n:1/y", "localhost:7000/object-1", "shared#5/object", "shard# 5/object", "shard#5.5/object", "shard#5/sub/object"]
+    fixed = ID_VECTORS
     return p.select(F.explode(F.array(F.col("p_name"), F.concat(F.lit("shard#"), "p_size", F.lit("/"), "p_name"), F.concat(F.lit("node-1/"), "p_name"))).alias("object_id")).union(spark.createDataFrame([(x,) for x in fixed], "object_id string"))
 
 
@@ -113,11 +179,18 @@ VIEWS = {
     "shard_events": """SELECT user_id AS shard, event_id + 1 AS mod_revision, 'node-' || ((props::json->>'k')::bigint % 4) AS current_node,
         CASE WHEN event_type = 'error' THEN 'DELETE' ELSE 'PUT' END AS op, epoch_us(ts) AS ts_us FROM events""",
     "id_samples": """SELECT unnest([p_name, 'shard#' || p_size || '/' || p_name, 'node-1/' || p_name]) AS object_id FROM part UNION ALL
-        SELECT unnest(['','a','foobar','shard#5/x','shard#-1/x','shard#007/x','shard#+7/x','shard#99999/x','shard#abc/x','shard#/x','shard#5','shard#10/','/x','n:1/y',
-        'localhost:7000/object-1','shared#5/object','shard# 5/object','shard#5.5/object','shard#5/sub/object'])""",
+        SELECT unnest([""" + ", ".join("'" + x + "'" for x in ID_VECTORS) + """])""",
+    "call_log": """SELECT event_id + 1 AS seq, epoch_us(ts) AS ts_us, 'User-' || user_id || '-' || (props::json->>'k') AS call_id, 'User-' || user_id AS object_id,
+        ['Counter','Wallet','ChatRoom','Player'][(user_id % 4)::int + 1] AS object_type, event_type AS method, ['pending','success','failed','skipped','success','lost'][(event_id % 6)::int + 1] AS status,
+        CASE WHEN event_id % 6 IN (1, 4) AND event_id % 11 <> 0 THEN 'r' || (props::json->>'k') END AS result, CASE WHEN event_id % 6 IN (2, 3) AND event_id % 13 <> 0 THEN 'e' || (props::json->>'k') END AS error, user_id FROM events""",
+    "ownership": """SELECT shard_id, CASE WHEN shard_id % 83 = 0 THEN '' ELSE target_node END AS target_node, current_node, pinned, mod_revision FROM shards_all WHERE shard_id % 89 <> 0""",
+    "owner_texts": """SELECT shard_id, CASE shard_id % 4 WHEN 0 THEN ' ' || target_node || ', f= pinned ,' || current_node || ', f=,extra' WHEN 1 THEN target_node || ',f=a' || repeat('z', 1200) || ',f=b' WHEN 2 THEN e'\u00a0f=p,\t' || target_node || e'\u3000,' || current_node ELSE target_node || ',,f=pinned' END AS value FROM shards_all""",
+    "gates": "SELECT 'gate-' || i AS address, i <> 2 AS configured, i <> 1 AS alive FROM range(3) t(i)",
+    "links": """SELECT seq, ts_us, 'gate-' || (user_id % 2) AS source, 'node-' || (user_id % 5) AS target FROM calls_all""",
 }
 
 
 def with_views(*names: str) -> str:
     """The WITH clause that defines some of the views."""
-    return "WITH RECURSIVE " + ", ".join(f"{n} AS ({VIEWS[n]})" for n in names) + " "
+    texts = [f"{n} AS ({VIEWS[n].replace('FROM shards_all', f'FROM ({VIEWS['shards']})').replace('FROM calls_all', f'FROM ({VIEWS['calls']})')})" for n in names]
+    return "WITH RECURSIVE " + ", ".join(texts) + " "
