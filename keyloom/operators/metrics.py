@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 # Bucket bounds in seconds.
 CALL_BUCKETS = (0.001, 0.01, 0.1, 1.0, 10.0)
 OPERATION_BUCKETS = (0.001, 0.005, 0.01, 0.05, 0.1, 0.5, 1.0, 5.0, 10.0, 30.0)
+STOP_BUCKETS = (0.1, 0.5, 1.0, 2.0, 5.0, 10.0, 20.0, 30.0, 60.0, 120.0)
 
 
 def histogram(samples: DataFrame, labels: list[str], value: Column, bounds: tuple[float, ...] = CALL_BUCKETS) -> DataFrame:
@@ -40,3 +41,12 @@ def held(steps: DataFrame, keys: list[str], at: str, hot: Column, least: int) ->
     marked = steps.withColumn("_hot", hot).withColumn("_n", F.row_number().over(w)).where("_hot")
     marked = marked.withColumn("_run", F.col("_n") - F.row_number().over(w))
     return marked.groupBy(*keys, "_run").agg(F.min(at).alias("first"), F.max(at).alias("last"), F.count("*").alias("steps")).where(F.col("steps") >= least).drop("_run")
+
+
+def alerts(steps: DataFrame, keys: list[str], at: str, rules: list[tuple[str, str, int]]) -> DataFrame:
+    """(alert, keys, first, last, steps) of every run of steps at which a rule (name, condition, least steps) holds."""
+    named = [held(steps, keys, at, F.expr(condition), least).withColumn("alert", F.lit(name)) for name, condition, least in rules]
+    out = named[0]
+    for more in named[1:]:
+        out = out.unionByName(more)
+    return out
