@@ -80,7 +80,8 @@ def drop_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     spans = materialize(rows.mapInArrow(hashed, "id long, tag long, mark long, rest long, start int, end int"), "spans")
     # half of the digest finds what may repeat; only that travels on, and is held against the whole digest
-    twice = spans.groupBy("mark").agg(F.count("*").alias("n")).where("n > 1").select("mark")
+    # (written, so that both sides of the join are plain shuffles, of which Spark splits a very frequent mark)
+    twice = materialize(spans.groupBy("mark").agg(F.count("*").alias("n")).where("n > 1").select("mark"), "repeated-marks")
     repeated = materialize(spans.join(twice, "mark"), "repeated-spans")
     place = F.struct("id", "tag", "start")
     heads = materialize(repeated.groupBy("mark", "rest").agg(F.min(place).alias("head"), F.count("*").alias("n")).where("n > 1").drop("n"), "first-spans")
