@@ -1,9 +1,11 @@
-"""Near copies by the exact Jaccard similarity of the texts' five-word shingles.
+"""Near copies by the exact Jaccard similarity of the texts' five-word shingles, for the pipeline's near-dedup stage.
 
-A radius of SimHash bits wide enough for a similarity of 0.8 (14 of 64) leaves vantage-point trees hardly anything to
-prune and bounds no miss, so candidates come from MinHash: two texts of similarity s share a band of ROWS minima with a chance of 1 - (1 - s^ROWS)^BANDS, at 0.8 all but 3 in a
-million. Texts that share a band, directly or by way of others, form a candidate group; each text goes to its group once.
-There every link is confirmed by whole shingle sets, and components of the confirmed links are the near copies."""
+Candidates are the links of operator 6: SimHash fingerprints of the shingle sets, found with its vantage-point trees. Within
+the few bits at which trees prune, these are the closest copies only: texts of similarity 0.8 differ in about ten of 64 bits,
+where the triangle bound leaves nothing out. The rest therefore comes from MinHash: two texts of similarity s share a band
+of ROWS minima with a chance of 1 - (1 - s^ROWS)^BANDS, at 0.8 all but 3 in 100,000. Texts that are linked either way,
+directly or by others, form a candidate group; each text goes to its group once. There every link is confirmed by whole
+shingle sets, and components of the confirmed links are the near copies."""
 
 from __future__ import annotations
 
@@ -13,12 +15,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import bounded_batches, claim, components, materialize, text_bytes
+from ._shared import bounded_batches, claim, components, materialize, ragged, text_bytes
 from .decontaminate import shingles
+from .simhash import majority, near_links
 
 WIDTH = 5
 SIMILARITY = 0.8
-ROWS, BANDS = 5, 32
+ROWS, BANDS = 4, 20
+RADIUS = 4  # bits within which the trees look
 CELL = 16_000_000  # bytes of text above which a candidate group is dealt out as pairs of chunks
 _FACTORS = np.random.default_rng(5).integers(0, 1 << 64, ROWS * BANDS, np.uint64, endpoint=False) | np.uint64(1)
 _cache: dict[bytes, int] = {}
@@ -55,7 +59,7 @@ def links(sets: list[np.ndarray], similarity: float) -> tuple[list[int], list[in
     flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
     order = np.argsort(flat, kind="stable")
     flat, owner = flat[order], owner[order]
-    pool, left, a, b = np.ones(len(sets), bool), len(sets), [], []
+    pool, left, live, a, b = np.ones(len(sets), bool), len(sets), len(sets), [], []
     for first in range(len(sets)):
         if not pool[first]:
             continue
@@ -63,9 +67,12 @@ def links(sets: list[np.ndarray], similarity: float) -> tuple[list[int], list[in
         left -= 1
         queue = [first]
         while queue and left:
+            if left < live // 2:  # sets that have been reached leave the index
+                keep = pool[owner]
+                flat, owner, live = flat[keep], owner[keep], left
             x = queue.pop()
             lo, hi = np.searchsorted(flat, sets[x]), np.searchsorted(flat, sets[x], "right")
-            both = np.bincount(np.concatenate([owner[i:j] for i, j in zip(lo.tolist(), hi.tolist())]), minlength=len(sets))
+            both = np.bincount(owner[ragged(lo, hi - lo)], minlength=len(sets))
             hit = np.flatnonzero(pool & (both >= similarity * (sizes + sizes[x] - both) - 1e-9))
             pool[hit] = False
             left -= len(hit)
@@ -92,19 +99,26 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         claim("near copies", _cache.clear)
         for batch in batches:
             words, mark = marks(batch.column(2))
-            keys = [bands(shingle_set(w)).view(np.int64) if w else np.empty(0, np.int64) for w in words]
+            sets = [shingle_set(w) for w in words]
+            keys = [bands(s).view(np.int64) if len(s) else np.empty(0, np.int64) for s in sets]
+            prints = np.fromiter((majority(s) for s in sets), np.uint64, len(sets)).view(np.int64)
             ends = np.cumsum([0] + [len(k) for k in keys]).astype(np.int32)
             held = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), mark, held], ["id", "tag", "mark", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), mark, held, pa.array(prints)], ["id", "tag", "mark", "bands", "fp"])
 
     def marked(batches):
         for batch in batches:
             yield pa.RecordBatch.from_arrays([marks(batch.column(0))[1], batch.column(0)], ["mark", "text"])
 
-    signed = materialize(rows.mapInArrow(sign, "id long, tag long, mark long, bands array<long>"), "minhash")
+    signed = materialize(rows.mapInArrow(sign, "id long, tag long, mark long, bands array<long>, fp long"), "minhash")
     placed = signed.select("mark", F.explode("bands").alias("band"))
     shared = placed.groupBy("band").agg(F.min("mark").alias("low"), F.max("mark").alias("high")).where("low < high").select("band", "low")
-    groups = components(placed.join(shared, "band").where("mark != low").select(F.col("mark").alias("a"), F.col("low").alias("b")))
+    by_band = placed.join(shared, "band").where("mark != low").select(F.col("mark").alias("a"), F.col("low").alias("b"))
+    prints = materialize(signed.where(F.size("bands") > 0).groupBy("fp").agg(F.min("mark").alias("low")), "distinct-fp")
+    alike = signed.join(prints, "fp").where("mark != low").select(F.col("mark").alias("a"), F.col("low").alias("b"))
+    close = near_links(prints.select("fp"), RADIUS)
+    close = close.join(prints.select(F.col("fp").alias("a"), F.col("low").alias("x")), "a").join(prints.select(F.col("fp").alias("b"), F.col("low").alias("y")), "b")
+    groups = components(by_band.union(alike).union(close.select(F.col("x").alias("a"), F.col("y").alias("b"))))
     groups = materialize(groups.select(F.col("node").alias("mark"), "root"), "candidates")
     texts = rows.select("text").mapInArrow(marked, "mark long, text string").join(groups, "mark").dropDuplicates(["mark"])
     texts = materialize(texts.select("root", "mark", "text"), "candidate-texts")
