@@ -1,48 +1,78 @@
-"""Text quality by an interpolated modified Kneser-Ney model over bytes.
+"""Text quality by an interpolated modified Kneser-Ney model over pairs of words.
 
-Four-grams of lower-cased UTF-8 bytes are counted over all trusted texts; continuation counts, discounts and context sums
-follow by aggregates. To score every text without shipping an n-gram row per place, a map task inverts its texts: per
-block and shard one row with the distinct n-grams and, for each, the texts and counts. Shards are cut by an n-gram's two
-middle bytes, which all entries of orders four and three for it share, so a shard's join of model and postings finds all
-it needs; order two is a table of 65,536 numbers. The shards' sums per text are added up into log-likelihoods."""
+Words and runs of signs, lower-cased, fall into 65,535 classes by a hash; class 0 stands before a text. Pairs are counted
+over the trusted texts outside a held-out fold, so the table grows with the corpus; the order below it, over single
+classes, is a table of 65,536 numbers. Continuation counts, discounts and context sums follow by aggregates. To score every
+text without shipping a row per word, a map task inverts its texts: per block and shard one row with the distinct pairs
+and, for each, the texts and counts. Shards are cut by a pair's first word, which its context shares, so a shard's join of
+model and postings finds all it needs; a frequent word's shard is dealt out by blocks. The shards' sums per text are added
+up into log-likelihoods.
+
+Texts that the model has learned from, and their copies, look better than others, so thresholds come from held-out trusted
+texts. There is no lower one: it would reject texts that the model knows, and not those that repeat a few common words."""
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import bounded_batches, materialize, text_bytes
+from ._shared import bounded_batches, claim, materialize, text_bytes
+from .language import held_out_of
+
+SHARDS = 64
+BLOCK = 1_500_000  # words inverted together
+SALT = 64  # blocks for which a shard's model is copied once
+QUANTILE = 0.98  # of held-out trusted texts' perplexities, up to which a text is kept
+_WORD = re.compile(r"\w+|[^\w\s]+")
+_classes: dict[str, int] = {}
+
+
+def shard_of(word):
+    """Shard of a word class as a number, for numpy arrays and columns alike."""
+    return (word * 40503) % 65536 % SHARDS
 
-SHARDS = 32
-BLOCK = 3_000_000  # bytes of text inverted together
-SALT = 128  # blocks for which a shard's model is copied once
-QUANTILE = 0.99
-_ORDERS = (4, 3, 2, 1)
 
+def classes(text: str) -> np.ndarray:
+    """Classes of a text's words: 1 to 65,535 by a hash; a worker remembers words it has met."""
+    found = _WORD.findall(text.lower())
+    try:
+        return np.fromiter(map(_classes.__getitem__, found), np.uint32, len(found))
+    except KeyError:
+        if len(_classes) > 500_000:
+            _classes.clear()
+        for w in found:
+            if w not in _classes:
+                _classes[w] = 1 + xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), 4) % 65535
+        return np.fromiter(map(_classes.__getitem__, found), np.uint32, len(found))
 
-def shard_of(middle):
-    """Shard of two middle bytes as a number, for numpy arrays and columns alike."""
-    return (middle * 40503) % 65536 % SHARDS
 
+def keys_of(text: str) -> np.ndarray:
+    """The pair that ends at each word: the class before it, 0 at the start, and its own."""
+    x = np.concatenate((np.zeros(1, np.uint32), classes(text)))
+    return (x[:-1] << np.uint32(16)) | x[1:]
 
-def keys_of(body: bytes) -> np.ndarray:
-    """The four-gram that ends at each byte, three zero bytes standing before the text."""
-    x = np.frombuffer(b"\0\0\0" + body, np.uint8).astype(np.uint32)
-    return (x[:-3] << np.uint32(24)) | (x[1:-2] << np.uint32(16)) | (x[2:-1] << np.uint32(8)) | x[3:]
 
+def _texts(column: pa.Array) -> list[str]:
+    return [b.decode("utf-8", "replace") for b in text_bytes(column)]
 
-def _lowered(column: pa.Array) -> list[bytes]:
-    return [b.decode("utf-8", "replace").lower().encode() for b in text_bytes(column)]
+
+def _parts(keys: np.ndarray):
+    """A text's pairs in parts of a block at most."""
+    return [keys[lo : lo + BLOCK] for lo in range(0, max(len(keys), 1), BLOCK)]
 
 
 def count_ngrams(texts: DataFrame) -> DataFrame:
-    """(key, n) of all four-grams of `texts` (text)."""
+    """(key, n) of all pairs of `texts` (text)."""
 
     def run(batches):
+        claim("classes", _classes.clear)
         held, size = [], 0
 
         def flush():
@@ -50,10 +80,10 @@ def count_ngrams(texts: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(n.astype(np.int64))], ["key", "n"])
 
         for batch in batches:
-            for body in _lowered(batch.column(0)):
-                for lo in range(0, len(body), BLOCK):
-                    held.append(keys_of(body[max(0, lo - 3) : lo + BLOCK])[3 if lo else 0 :])
-                    size += len(held[-1])
+            for text in _texts(batch.column(0)):
+                for part in _parts(keys_of(text)):
+                    held.append(part)
+                    size += len(part)
                     if size > BLOCK:
                         yield flush()
                         held, size = [], 0
@@ -79,61 +109,48 @@ class Discounts:
 def _contexts(grams: DataFrame, d: Discounts) -> DataFrame:
     """(key, total, freed): per context its count and the mass its discounts free."""
     parts = [F.count_if(F.col("n") == 1) * d.d[0], F.count_if(F.col("n") == 2) * d.d[1], F.count_if(F.col("n") >= 3) * d.d[2]]
-    return grams.groupBy(F.shiftright("key", 8).alias("key")).agg(F.sum("n").cast("double").alias("total"), (parts[0] + parts[1] + parts[2]).alias("freed"))
+    return grams.groupBy(F.shiftright("key", 16).alias("key")).agg(F.sum("n").cast("double").alias("total"), (parts[0] + parts[1] + parts[2]).alias("freed"))
 
 
 class Model:
-    """Tables of a trained model: `entries` (shard, kind, key, a, b) for orders four and three, and `pairs`, the probability
-    of a byte after another (65,536 numbers). kind 4, 3: a is the count; kind 40, 30: contexts with a total, b freed mass."""
+    """Tables of a trained model: `entries` (shard, kind, key, a, b) of pairs, and `single`, the probability of a class by
+    itself (65,536 numbers). kind 2: a is the count; kind 1: contexts with a total and b the freed mass."""
 
-    def __init__(self, entries: DataFrame, pairs: np.ndarray, discounts: dict[int, Discounts]):
-        self.entries, self.pairs, self.discounts = entries, pairs, discounts
+    def __init__(self, entries: DataFrame, single: np.ndarray, discounts: Discounts):
+        self.entries, self.single, self.discounts = entries, single, discounts
 
 
 def fit(texts: DataFrame) -> Model:
     """Counts and discounts over all rows of `texts` (text)."""
     bounded_batches(texts.sparkSession)
-    grams = {4: materialize(count_ngrams(texts), "ngrams")}
-    for order in (3, 2, 1):  # continuation counts: distinct bytes before the rest
-        mask = (1 << 8 * order) - 1
-        lower = grams[order + 1].groupBy(F.col("key").bitwiseAND(F.lit(mask)).alias("key")).agg(F.count("*").alias("n"))
-        grams[order] = materialize(lower, "ngrams") if order == 3 else lower
-    discounts = {}
-    for order in _ORDERS:
-        few = grams[order].where("n <= 4").groupBy("n").count().collect()
-        discounts[order] = Discounts({r["n"]: r["count"] for r in few})
-    one, two = np.zeros(256), np.zeros(65536)
-    for r in grams[1].collect():  # 256 rows at most
+    pairs = materialize(count_ngrams(texts), "pairs")
+    # continuation counts: distinct words before a class
+    lower = pairs.groupBy(F.col("key").bitwiseAND(F.lit(65535)).alias("key")).agg(F.count("*").alias("n")).collect()  # 65,536 rows at most
+    one = np.zeros(65536)
+    for r in lower:
         one[r.key] = r.n
-    for r in grams[2].collect():  # 65,536 rows at most
-        two[r.key] = r.n
-    d1, d2 = discounts[1].of(one), discounts[2].of(two)
-    single = (one - d1) / one.sum() + d1.sum() / one.sum() / 256 if one.sum() else np.full(256, 1 / 256)
-    table, freed = two.reshape(256, 256), d2.reshape(256, 256).sum(1, keepdims=True)
-    total = table.sum(1, keepdims=True)
-    pairs = np.where(total > 0, (table - d2.reshape(256, 256) + freed * single) / np.maximum(total, 1), single).ravel()
-    middle = {4: F.shiftright("key", 8).bitwiseAND(F.lit(65535)), 3: F.shiftright("key", 8), 40: F.col("key").bitwiseAND(F.lit(65535)), 30: F.col("key")}
-    frames = []
-    for order in (4, 3):
-        counts = grams[order].select("key", F.col("n").cast("double").alias("a"), F.lit(0.0).alias("b"))
-        contexts = _contexts(grams[order], discounts[order]).select("key", F.col("total").alias("a"), F.col("freed").alias("b"))
-        frames += [(order, counts), (order * 10, contexts)]
-    rows = [f.select(shard_of(middle[k]).cast("int").alias("shard"), F.lit(k).alias("kind"), "key", "a", "b") for k, f in frames]
-    entries = rows[0]
-    for r in rows[1:]:
-        entries = entries.unionByName(r)
-    return Model(materialize(entries, "ngram-model"), pairs, discounts)
+    few = Discounts({n: int((one == n).sum()) for n in (1, 2, 3, 4)}).of(one)
+    single = (one - few) / one.sum() + few.sum() / one.sum() / 65536 if one.sum() else np.full(65536, 1 / 65536)
+    discounts = Discounts({r["n"]: r["count"] for r in pairs.where("n <= 4").groupBy("n").count().collect()})
+    counts = pairs.select(shard_of(F.shiftright("key", 16)).cast("int").alias("shard"), F.lit(2).alias("kind"), "key", F.col("n").cast("double").alias("a"), F.lit(0.0).alias("b"))
+    contexts = _contexts(pairs, discounts).select(shard_of(F.col("key")).cast("int").alias("shard"), F.lit(1).alias("kind"), "key", F.col("total").alias("a"), F.col("freed").alias("b"))
+    return Model(counts.unionByName(contexts), single, discounts)
+
+
+def _planes(x: np.ndarray) -> list[np.ndarray]:
+    """The bytes of 32-bit numbers, all lowest ones first: the high ones of small numbers take next to no room."""
+    return list(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T))
 
 
 def _invert(texts: DataFrame) -> DataFrame:
-    """(shard, block, ids, tags, sizes, postings): per block and shard the distinct n-grams with the texts they are in."""
+    """(shard, block, ids, tags, sizes, postings): per block and shard the distinct pairs with the texts they are in."""
     names = ["shard", "block", "ids", "tags", "sizes", "postings"]
 
     def flush(block, ids, tags, parts):
-        squeeze = zstandard.ZstdCompressor(level=1).compress
+        squeeze = zstandard.ZstdCompressor(level=3).compress
         sizes = np.array([len(p) for p in parts], np.int64)
         key = np.concatenate(parts).astype(np.uint64)
-        shard = shard_of((key >> np.uint64(8)) & np.uint64(65535)).astype(np.uint64)
+        shard = shard_of(key >> np.uint64(16)).astype(np.uint64)
         packed = (shard << np.uint64(48)) | (key << np.uint64(16)) | np.repeat(np.arange(len(parts), dtype=np.uint64), sizes)
         packed.sort()
         first = np.flatnonzero(np.concatenate(([True], packed[1:] != packed[:-1])))
@@ -141,25 +158,24 @@ def _invert(texts: DataFrame) -> DataFrame:
         edges = np.searchsorted(packed, np.arange(SHARDS + 1, dtype=np.uint64) << np.uint64(48))
         for s in range(SHARDS):
             lo, hi = edges[s], edges[s + 1]
-            gram = (packed[lo:hi] >> np.uint64(16)) & np.uint64(0xFFFFFFFF)
+            gram = ((packed[lo:hi] >> np.uint64(16)) & np.uint64(0xFFFFFFFF)).astype(np.int64)
             new = np.concatenate(([True], gram[1:] != gram[:-1])) if hi > lo else np.empty(0, bool)
             text = (packed[lo:hi] & np.uint64(65535)).astype(np.int64)
-            step = np.where(new, text, np.diff(text, prepend=0)).astype("<u2")
             many = np.minimum(times[lo:hi], 255).astype(np.uint8)
             over = times[lo:hi][many == 255].astype("<u4")
-            body = [gram[new].astype("<u4"), np.diff(np.flatnonzero(new), append=hi - lo).astype("<u4"), (step & 255).astype(np.uint8), (step >> 8).astype(np.uint8), many, over]
+            body = [*_planes(np.diff(gram[new], prepend=0)), *_planes(np.diff(np.flatnonzero(new), append=hi - lo)), (text & 255).astype(np.uint8), (text >> 8).astype(np.uint8), many, over]
             postings = squeeze(b"".join(np.int64(x.nbytes).tobytes() + x.tobytes() for x in body))
             held = (ids, tags, sizes.tolist()) if s == 0 else ([], [], [])
             arrays = [pa.array([s], pa.int32()), pa.array([block], pa.int64())] + [pa.array([h], pa.list_(pa.int64())) for h in held] + [pa.array([postings], pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays, names)
 
     def run(batches):
+        claim("classes", _classes.clear)
         block = TaskContext.get().partitionId() << 32
         ids, tags, parts, held = [], [], [], 0
         for batch in batches:
-            for i, tag, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _lowered(batch.column(2))):
-                for lo in range(0, max(len(body), 1), BLOCK):
-                    part = keys_of(body[max(0, lo - 3) : lo + BLOCK])[3 if lo else 0 :]
+            for i, tag, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _texts(batch.column(2))):
+                for part in _parts(keys_of(text)):
                     ids.append(i), tags.append(tag), parts.append(part)
                     held += len(part)
                     if held > BLOCK or len(ids) == 65_000:
@@ -171,69 +187,60 @@ def _invert(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "shard int, block long, ids array<long>, tags array<long>, sizes array<long>, postings binary")
 
 
-def _columns(data: bytes) -> list[np.ndarray]:
+def _columns(data: bytes) -> tuple[np.ndarray, ...]:
+    """pair, number of texts of each; text and count of each posting."""
     raw, at, out = zstandard.ZstdDecompressor().decompress(data), 0, []
-    for kind in ("<u4", "<u4", "u1", "u1", "u1", "<u4"):
+    for _ in range(12):
         size = int.from_bytes(raw[at : at + 8], "little")
-        out.append(np.frombuffer(raw[at + 8 : at + 8 + size], kind))
+        out.append(np.frombuffer(raw[at + 8 : at + 8 + size], np.uint8))
         at += 8 + size
-    return out
+    gram, uses = (np.ascontiguousarray(np.stack(out[k : k + 4], 1)).view("<u4").ravel().astype(np.int64) for k in (0, 4))
+    times = out[10].astype(np.float64)
+    times[out[10] == 255] = out[11].view("<u4")
+    return np.cumsum(gram), uses, out[8].astype(np.int64) | (out[9].astype(np.int64) << 8), times
 
 
-def log_probabilities(keys: np.ndarray, entries: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]], pairs: np.ndarray, discounts: dict[int, Discounts]) -> np.ndarray:
-    """Natural logarithms of the interpolated probabilities of four-grams."""
+def log_probabilities(keys: np.ndarray, counts: tuple[np.ndarray, np.ndarray], contexts: tuple[np.ndarray, np.ndarray, np.ndarray], single: np.ndarray, discounts: Discounts) -> np.ndarray:
+    """Natural logarithms of the interpolated probabilities of pairs. Tables are sorted by key."""
 
-    def found(kind: int, wanted: np.ndarray):
-        key, a, b = entries[kind]
+    def found(key: np.ndarray, wanted: np.ndarray):
         if not len(key):
-            return np.zeros(len(wanted)), np.zeros(len(wanted))
+            return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
         at = np.minimum(np.searchsorted(key, wanted), len(key) - 1)
-        hit = key[at] == wanted
-        return np.where(hit, a[at], 0.0), np.where(hit, b[at], 0.0)
-
-    p = pairs[keys & 65535]
-    for order in (3, 4):
-        gram = keys & ((1 << 8 * order) - 1)
-        n, _ = found(order, gram)
-        total, freed = found(order * 10, gram >> 8)
-        safe = np.maximum(total, 1e-300)
-        p = np.where(total > 0, (n - discounts[order].of(n)) / safe + freed / safe * p, p)
+        return at, key[at] == wanted
+
+    p = single[keys & 65535]
+    at, known = found(counts[0], keys)
+    n = np.where(known, counts[1][at], 0.0) if len(counts[0]) else np.zeros(len(keys))
+    at, context = found(contexts[0], keys >> 16)
+    if len(contexts[0]):
+        total, freed = np.where(context, contexts[1][at], 1.0), np.where(context, contexts[2][at], 1.0)
+        p = np.where(context, (n - discounts.of(n)) / total + freed / total * p, p)
     return np.log(p)
 
 
 def log_likelihoods(docs: DataFrame, model: Model, id_col: str, text_col: str) -> DataFrame:
-    """(id, tag, log_p, n_bytes) of every distinct row; n_bytes counts the lower-cased text."""
+    """(id, tag, log_p, n_words) of every distinct row."""
     spark = docs.sparkSession
     bounded_batches(spark)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("tag"), text.alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    salts = 1 + size // (SALT * BLOCK)
+    salts = 1 + size // (SALT * BLOCK * 4)
     inverted = _invert(rows).withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(salts)))
     entries = model.entries.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    pairs, discounts = model.pairs, model.discounts
+    single, discounts = spark.sparkContext.broadcast(model.single), model.discounts
 
     def score(postings: pa.Table, table: pa.Table) -> pa.Table:
-        kind = table.column("kind").to_numpy()
-        parts = {}
-        for k in (4, 3, 40, 30):
-            at = np.flatnonzero(kind == k)
-            key = table.column("key").to_numpy()[at]
-            order = np.argsort(key)
-            parts[k] = (key[order], table.column("a").to_numpy()[at][order], table.column("b").to_numpy()[at][order])
+        kind, key, a, b = (table.column(c).to_numpy() for c in ("kind", "key", "a", "b"))
+        order = np.argsort(key)
+        at = [order[kind[order] == k] for k in (2, 1)]
+        counts, contexts = (key[at[0]], a[at[0]]), (key[at[1]], a[at[1]], b[at[1]])
         sums = []
         for data in postings.column("postings"):
-            gram, uses, low, high, many, over = _columns(data.as_py())
-            step = low.astype(np.int64) | (high.astype(np.int64) << 8)
-            starts = np.cumsum(uses, dtype=np.int64) - uses
-            run = np.cumsum(step)
-            before = np.repeat((run - step)[starts], uses) if len(gram) else run
-            text = run - before
-            times = many.astype(np.float64)
-            times[many == 255] = over
-            log_p = log_probabilities(gram.astype(np.int64), parts, pairs, discounts)
-            weight = times * np.repeat(log_p, uses)
-            sums.append(np.bincount(text, weight).astype("<f8").tobytes())
+            gram, uses, text, times = _columns(data.as_py())
+            log_p = log_probabilities(gram, counts, contexts, single.value, discounts)
+            sums.append(np.bincount(text, times * np.repeat(log_p, uses)).astype("<f8").tobytes())
         keep = ["block", "ids", "tags", "sizes"]
         return postings.select(keep).append_column("sums", pa.array(sums, pa.binary()))
 
@@ -247,44 +254,49 @@ def log_likelihoods(docs: DataFrame, model: Model, id_col: str, text_col: str) -
         for data in table.sort_by("sums").column("sums"):  # a fixed order of adding
             part = np.frombuffer(data.as_py(), "<f8")
             total[: len(part)] += part
-        return pa.table({"id": pa.array(head["ids"], pa.int64()), "tag": pa.array(head["tags"], pa.int64()), "log_p": total, "n_bytes": pa.array(head["sizes"], pa.int64())})
+        return pa.table({"id": pa.array(head["ids"], pa.int64()), "tag": pa.array(head["tags"], pa.int64()), "log_p": total, "n_words": pa.array(head["sizes"], pa.int64())})
+
+    added = partial.groupBy("block").applyInArrow(add, "id long, tag long, log_p double, n_words long")
+    return added.groupBy("id", "tag").agg(F.sum("log_p").alias("log_p"), F.sum("n_words").alias("n_words"))
+
 
-    added = partial.groupBy("block").applyInArrow(add, "id long, tag long, log_p double, n_bytes long")
-    return added.groupBy("id", "tag").agg(F.sum("log_p").alias("log_p"), F.sum("n_bytes").alias("n_bytes"))
+def _trusted(labels: DataFrame) -> DataFrame:
+    good = labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null")
+    return good.select(F.col("doc_id").cast("long").alias("good")).distinct()
 
 
 def trusted_texts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Texts (text) whose id is labelled of good quality and not toxic.
+    """Texts (text) outside the held-out fold whose id is labelled of good quality and not toxic.
 
     The ids travel as lists per 1,024 numbers in a stored table, so Spark broadcasts it while it is small, by its own
     check, and joins by shuffle beyond that."""
-    good = labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select(F.col("doc_id").cast("long").alias("i"))
+    good = _trusted(labels).where(~held_out_of("good")).withColumnRenamed("good", "i")
     lists = good.groupBy(F.floor(F.col("i") / 1024).alias("span")).agg(F.array_sort(F.collect_set(F.pmod("i", F.lit(1024)).cast("short"))).alias("good"))
-    lists = materialize(lists.coalesce(1), "trusted-ids")
+    lists = materialize(lists, "trusted-ids")
     one = F.col(id_col).cast("long")
     rows = docs.select(F.col(text_col).cast("string").alias("text"), F.floor(one / 1024).alias("span"), F.pmod(one, F.lit(1024)).cast("short").alias("place"))
     return rows.join(lists, "span").where(F.array_contains("good", F.col("place"))).select("text")
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE) -> DataFrame:
-    """(id, lang, perplexity per byte, threshold, keep) of every distinct (id, text, lang).
+    """(id, lang, perplexity per word, threshold, keep) of every distinct (id, text, lang).
 
-    The model learns from all texts labelled good (`labels`: doc_id, quality, toxic). A language's threshold is the
-    `quantile` of its trusted texts' perplexities; a language without trusted texts takes that of all trusted texts, and
-    without any trusted text all rows have a null threshold and are kept. Empty and null texts have null perplexity and
-    are not kept. A null language is a language of its own."""
+    The model learns from the texts labelled good (`labels`: doc_id, quality, toxic) outside the held-out fold; a language's
+    threshold is the `quantile` of the perplexities of the trusted texts within it. A language without such texts takes that
+    of all; without any, rows have a null threshold and are kept. Texts without words, empty and null ones too, have null
+    perplexity and are not kept. A null language is a language of its own. Equal perplexities are judged alike; long texts
+    are scored whole, in parts of a block."""
     model = fit(trusted_texts(docs, labels, id_col, text_col))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     langs = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("tag"), F.col(lang_col).alias("lang")).distinct()
     scored = log_likelihoods(docs, model, id_col, text_col)
-    scored = scored.select("id", "tag", F.when(F.col("n_bytes") > 0, F.exp(-F.col("log_p") / F.col("n_bytes"))).alias("perplexity"))
+    scored = scored.select("id", "tag", F.exp(-F.col("log_p") / F.when(F.col("n_words") > 0, F.col("n_words"))).alias("perplexity"))
     both = langs["id"].eqNullSafe(scored["id"]) & (langs["tag"] == scored["tag"])
     table = materialize(langs.join(scored, both).select(langs["id"], "lang", "perplexity"), "perplexities")
-    good = labels.where("quality = 1 and coalesce(toxic, 0) = 0").select(F.col("doc_id").cast("long").alias("id")).distinct()
-    trusted = table.join(good, "id")
+    held = table.join(_trusted(labels).where(held_out_of("good")), F.col("id") == F.col("good"))
     cut = F.percentile_approx("perplexity", quantile, 100_000)
-    cuts = trusted.groupBy("lang").agg(cut.alias("own")).withColumnRenamed("lang", "of")
-    overall = trusted.agg(cut.alias("all")).first()[0]
+    cuts = held.groupBy("lang").agg(cut.alias("own")).withColumnRenamed("lang", "of")
+    overall = held.agg(cut.alias("all")).first()[0]
     joined = table.join(cuts, table["lang"].eqNullSafe(cuts["of"]), "left")
     threshold = F.coalesce("own", F.lit(overall).cast("double"))
     keep = F.col("perplexity").isNotNull() & (threshold.isNull() | (F.col("perplexity") <= threshold))
