@@ -1,7 +1,7 @@
 """Corpus pipeline: language ID, near-dedup by exact Jaccard, suffix-array dedup, benchmark decontamination, best-fit packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept. All but the last return the columns of
-`docs`. Decontamination keeps rows whose doc_id is null (they cannot be told apart)."""
+`docs`, whatever others there are besides doc_id, text and, for language ID, lang. Null texts count as empty."""
 
 from __future__ import annotations
 
@@ -19,8 +19,9 @@ REPEAT_BYTES = 200  # repeated strings of this length go; about 35 words
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts without letters and texts that no known language fits; a rejected row goes."""
     model = language.fit(docs, fold=None)
-    kept = language.identify(docs.withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).select(*docs.columns), model)
-    return kept.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE)).select(*docs.columns)
+    rows = docs.select("text", F.struct(*[docs[c] for c in docs.columns]).alias("doc"))  # columns of any name pass through
+    kept = language.identify(rows, model)
+    return kept.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE)).select("doc.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,19 +49,21 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts repeated strings of REPEAT_BYTES out of the texts; a text with nothing left goes.
+    """Cuts repeated strings of REPEAT_BYTES out of the texts, all occurrences but the first; a text with nothing left goes.
 
-    Bytes of a character that was cut through go with it. n_chars follows the new text."""
-    _, verdict = suffix_dedup.verdicts(docs, length=REPEAT_BYTES, anchor=48)
-    verdict = verdict.select(F.col("id").alias("_id"), F.col("tag").alias("_tag"), F.col("spans").alias("_spans"), F.col("whole").alias("_whole"))
-    tag = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    joined = docs.join(verdict, docs["doc_id"].eqNullSafe(verdict["_id"]) & (tag == verdict["_tag"]), "left").drop("_id", "_tag")
+    First is the occurrence of the least doc_id (null before all), then by a hash of the text, then by place. Bytes of a
+    character that was cut through go with it. A column n_chars, if there is one, follows the new text."""
+    _, verdict = suffix_dedup.verdicts(docs, length=REPEAT_BYTES, anchor=48, keep_first=True)
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), F.col("doc_id").cast("long").alias("of"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("mark"))
+    joined = rows.join(verdict, rows["of"].eqNullSafe(verdict["id"]) & (rows["mark"] == verdict["tag"]), "left").select("doc", "spans", "whole")
     names = docs.columns
 
     def apply(batches):
         for b in batches:
-            spans, whole = b.column("_spans").to_pylist(), b.column("_whole").to_pylist()
-            texts, sizes, keep = b.column("text").to_pylist(), b.column("n_chars").to_pylist(), []
+            columns = dict(zip(names, b.column(0).flatten()))
+            spans, whole = b.column(1).to_pylist(), b.column(2).to_pylist()
+            texts, keep = columns["text"].to_pylist(), []
+            sizes = columns["n_chars"].to_pylist() if "n_chars" in columns else [None] * len(texts)
             for i, text in enumerate(texts):
                 touched = bool(spans[i]) or bool(whole[i])
                 if touched:
@@ -68,16 +71,17 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
                     texts[i] = left.decode("utf-8", "ignore")
                     sizes[i] = len(texts[i])
                 keep.append(not touched or bool(texts[i].strip()))
-            new = {"text": pa.array(texts, pa.string()), "n_chars": pa.array(sizes, b.schema.field("n_chars").type)}
-            yield pa.RecordBatch.from_arrays([new.get(c, b.column(c)) for c in names], names).filter(pa.array(keep))
+            columns["text"] = pa.array(texts, pa.string())
+            if "n_chars" in columns:
+                columns["n_chars"] = pa.array(sizes, columns["n_chars"].type)
+            yield pa.RecordBatch.from_arrays([columns[c] for c in names], names).filter(pa.array(keep, pa.bool_()))
 
     return joined.mapInArrow(apply, docs.schema)
 
 
 def decontaminate_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops every text that contains a benchmark item."""
-    found = decontaminate.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """Drops every row whose text contains a benchmark item."""
+    return decontaminate.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
