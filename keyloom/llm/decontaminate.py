@@ -2,15 +2,16 @@
 
 Test items are short and documents long, so their Jaccard similarity is small even where the whole item is copied, and
 symmetric signatures would miss it. Containment is therefore searched from the item's side: a MinHash signature of an
-item is a sample of its own shingles, those of least value under k hash functions; each lies in a containing document
-with probability equal to the containment. Items are partitioned by size (powers of two of their shingle count); a
-partition's k is chosen so that an item at the threshold is missed with a chance under `miss`. Small partitions keep all
-shingles, so they miss none. Every text's shingles are probed against the signatures; the few candidates are then
-verified by exact containment of the item's shingles in the document's.
-"""
+item is a sample of its own shingles, those of least value under 2k hash functions; each lies in a containing document
+with probability equal to the containment, so an item at the threshold is missed with a chance under `miss`, whatever its
+size. Items are partitioned by size (powers of two of their shingle count): partitions of at most 4k shingles keep all of
+them and miss none, larger ones are searched by signatures. Items of fewer words than a shingle form partitions of their
+own, by number of words, and are searched among the texts' shingles of that many words. Every text's shingles are probed
+against the signatures; the few candidates are then verified by exact containment, on the words themselves."""
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 
@@ -26,6 +27,7 @@ from ._shared import bounded_batches, claim
 WIDTH = 5
 THRESHOLD = 0.8
 BLOCK = 20_000  # items searched for in one pass over the documents
+SIZE = 20_000_000  # characters of them
 _WORD = re.compile(r"\w+")
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _cache: dict[str, int] = {}
@@ -67,75 +69,106 @@ def signature(items: np.ndarray, k: int) -> np.ndarray:
         return np.unique(items[mixed.argmin(1)])
 
 
+def exact_shingles(words: list[str], width: int) -> set[tuple[str, ...]]:
+    return set(zip(*(words[i:] for i in range(width))))
+
+
 class ItemIndex:
-    """Signatures of a block of items, by shingle; and the items' whole shingle sets."""
+    """Signatures of a block of items by width and shingle, and the items' words."""
 
     def __init__(self, items: list[tuple[int, str]], width: int, threshold: float, miss: float):
-        self.ids, self.sets, keys, owners = [], [], [], []
+        self.ids, self.sets, self.widths, probes = [], [], [], {}
+        k = math.ceil(math.log(miss) / math.log(1 - threshold)) if threshold < 1 else 1
         for i, text in items:
-            s = np.unique(shingles(word_hashes(text or ""), width))
-            if not len(s):
+            words = _WORD.findall((text or "").lower())
+            if not words:
                 continue
+            w = min(width, len(words))
+            s = np.unique(shingles(word_hashes(text), w))
             size = 1 << (len(s) - 1).bit_length()  # the partition's largest size
-            k = math.ceil(math.log(miss) / math.log(1 - threshold)) if threshold < 1 else 1
-            probe = s if size <= 2 * k else signature(s, 2 * k)
+            probe = s if size <= 4 * k else signature(s, 2 * k)
+            keys, owners = probes.setdefault(w, ([], []))
             keys.append(probe), owners.append(np.full(len(probe), len(self.ids)))
-            self.ids.append(i), self.sets.append(s)
-        key = np.concatenate(keys) if keys else np.empty(0, np.uint64)
-        order = np.argsort(key, kind="stable")
-        self.keys, self.owners = key[order], np.concatenate(owners)[order] if keys else np.empty(0, np.int64)
-
-    def candidates(self, h: np.ndarray) -> np.ndarray:
-        """Items of which some signature shingle is among the sorted distinct `h`."""
-        if not len(self.keys) or not len(h):
-            return np.empty(0, np.int64)
-        at = np.searchsorted(h, self.keys) if len(h) > len(self.keys) else None
-        hit = h[np.minimum(at, len(h) - 1)] == self.keys if at is not None else np.isin(self.keys, h)
-        return np.unique(self.owners[hit])
+            self.ids.append(i), self.sets.append(exact_shingles(words, w)), self.widths.append(w)
+        self.probes = {}
+        for w, (keys, owners) in probes.items():
+            key, owner = np.concatenate(keys), np.concatenate(owners)
+            order = np.argsort(key, kind="stable")
+            self.probes[w] = key[order], owner[order]
+
+    def hits(self, text: str, threshold: float) -> list[tuple[int, int, int]]:
+        """(item, shared, shingles of the item) of every item whose containment in the text is at the threshold."""
+        hashes, candidates = word_hashes(text), []
+        for w, (key, owner) in self.probes.items():
+            if len(hashes) >= w:
+                hit = np.isin(key, shingles(hashes, w))
+                if hit.any():
+                    candidates += np.unique(owner[hit]).tolist()
+        if not candidates:
+            return []
+        words, found = _WORD.findall(text.lower()), []
+        own = {w: exact_shingles(words, w) for w in {self.widths[c] for c in candidates}}
+        for c in candidates:
+            both = len(self.sets[c] & own[self.widths[c]])
+            if both >= threshold * len(self.sets[c]):
+                found.append((self.ids[c], both, len(self.sets[c])))
+        return found
+
+
+def _blocks(items: DataFrame, item_col: str, item_text: str, width: int, threshold: float, miss: float, block: int, size: int):
+    """Broadcast indexes of blocks of items, each of `block` items and `size` characters at most (or of one item)."""
+    context = items.sparkSession.sparkContext
+    batch: list[tuple[int, str]] = []
+    held = 0
+    for i, text in items.select(F.col(item_col).cast("long"), F.col(item_text).cast("string")).toLocalIterator():
+        if batch and (len(batch) == block or held + len(text or "") > size):
+            yield context.broadcast(ItemIndex(batch, width, threshold, miss))
+            batch, held = [], 0
+        batch.append((i, text))
+        held += len(text or "")
+    yield context.broadcast(ItemIndex(batch, width, threshold, miss))
 
 
-def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", width: int = WIDTH, threshold: float = THRESHOLD, miss: float = 1e-9, block: int = BLOCK) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", width: int = WIDTH, threshold: float = THRESHOLD, miss: float = 1e-9, block: int = BLOCK, size: int = SIZE) -> DataFrame:
     """(id, item, n_shared, n_item, containment) of every row and item whose containment is `threshold` or more.
 
-    Containment: the part of the item's distinct shingles of `width` lower-cased words that the text has anywhere. Null
-    and wordless texts and items match nothing. Repeated rows and repeated items each give their own result rows. The
-    items are a stated query set, searched in blocks of `block`, each sent to every executor; their number is not bounded."""
-    spark = docs.sparkSession
-    bounded_batches(spark)
+    Containment: the part of the item's distinct shingles of `width` lower-cased words (an item of fewer words is one
+    shingle) that the text has anywhere. Null and wordless texts and items match nothing. Repeated rows and repeated items
+    each give their own result rows; long texts are searched whole. The items are a stated query set, searched in blocks of
+    at most `block` items and `size` characters, each sent to every executor and one pass over the texts."""
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     schema = f"{id_col} long, {item_col} long, n_shared long, n_item long, containment double"
-    found = None
-    batch: list[tuple[int, str]] = []
+    kind = pa.schema([(id_col, pa.int64()), (item_col, pa.int64()), ("n_shared", pa.int64()), ("n_item", pa.int64()), ("containment", pa.float64())])
+
+    def search(held) -> DataFrame:
+        def run(batches):
+            claim("words", _cache.clear)
+            for b in batches:
+                out = [(i, item, both, n, both / n) for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for item, both, n in held.value.hits(text or "", threshold)]
+                yield pa.RecordBatch.from_pandas(pd.DataFrame(out, columns=kind.names), kind, preserve_index=False)
+
+        return rows.mapInArrow(run, schema)
+
+    found = [search(held) for held in _blocks(items, item_col, item_text, width, threshold, miss, block, size)]
+    return functools.reduce(DataFrame.unionByName, found)
+
 
-    def search(some: list[tuple[int, str]]) -> DataFrame:
-        held = spark.sparkContext.broadcast(ItemIndex(some, width, threshold, miss))
+def without_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", width: int = WIDTH, threshold: float = THRESHOLD, miss: float = 1e-9, block: int = BLOCK, size: int = SIZE) -> DataFrame:
+    """The rows of `docs`, all columns, whose text contains no item. Rows are judged by themselves, so neither null nor
+    shared ids matter; nothing is shuffled."""
+    bounded_batches(docs.sparkSession)
+    out = docs.select(F.col(text_col).cast("string").alias("text"), F.struct(*[docs[c] for c in docs.columns]).alias("doc"))
+    schema = out.schema
 
+    def clean(rows: DataFrame, held) -> DataFrame:
         def run(batches):
-            index = held.value
             claim("words", _cache.clear)
             for b in batches:
-                out = []
-                for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    h = shingles(word_hashes(text or ""), width)
-                    if not len(h) or not np.isin(index.keys, h, kind=None).any():
-                        continue
-                    h = np.unique(h)
-                    for c in index.candidates(h).tolist():
-                        n = len(index.sets[c])
-                        at = np.minimum(np.searchsorted(h, index.sets[c]), len(h) - 1)
-                        both = int((h[at] == index.sets[c]).sum())
-                        if both >= threshold * n:
-                            out.append((i, index.ids[c], both, n, both / n))
-                frame = pd.DataFrame(out, columns=[id_col, item_col, "n_shared", "n_item", "containment"])
-                yield pa.RecordBatch.from_pandas(frame, pa.schema([(id_col, pa.int64()), (item_col, pa.int64()), ("n_shared", pa.int64()), ("n_item", pa.int64()), ("containment", pa.float64())]), preserve_index=False)
+                yield b.filter(pa.array([not held.value.hits(text or "", threshold) for text in b.column(0).to_pylist()], pa.bool_()))
 
         return rows.mapInArrow(run, schema)
 
-    for r in items.select(F.col(item_col).cast("long"), F.col(item_text).cast("string")).toLocalIterator():
-        batch.append((r[0], r[1]))
-        if len(batch) == block:
-            found = search(batch) if found is None else found.unionByName(search(batch))
-            batch = []
-    if batch or found is None:
-        found = search(batch) if found is None else found.unionByName(search(batch))
-    return found
+    for held in _blocks(items, item_col, item_text, width, threshold, miss, block, size):
+        out = clean(out, held)
+    return out.select("doc.*")

@@ -110,8 +110,9 @@ def _anchor_rows(length: int, k: int):
     return run
 
 
-def repeated_windows(flat: np.ndarray, offset: np.ndarray, size: np.ndarray, group: np.ndarray, at: np.ndarray, windows: np.ndarray, length: int) -> np.ndarray:
+def repeated_windows(flat: np.ndarray, offset: np.ndarray, size: np.ndarray, group: np.ndarray, at: np.ndarray, windows: np.ndarray, length: int, keep_first: bool = False) -> np.ndarray:
     """For pieces laid end to end in `flat`, ordered by `group`: a flag per window, in order, if another piece of its group has it.
+    With `keep_first`, the first piece that has a window is not flagged.
 
     One round per column, from the last to the first. `order` holds the pieces by (group, suffix from the column on),
     prefix[i] the symbols that order[i - 1] and order[i] share there."""
@@ -137,15 +138,20 @@ def repeated_windows(flat: np.ndarray, offset: np.ndarray, size: np.ndarray, gro
             prefix[1:-1] = np.where(same, shared + 1, 0)
         long = prefix >= length
         if long.any():
-            hit = order[long[:-1] | long[1:]]
+            chosen = long[:-1] | long[1:]
+            if keep_first:
+                runs = ~long[:-1]  # a run of equal windows starts where the one before shares less
+                heads = np.minimum.reduceat(order, np.flatnonzero(runs))
+                chosen &= order != heads[np.cumsum(runs) - 1]
+            hit = order[chosen]
             start = at[hit] + column
             own = start < windows[hit]
             found[base[hit[own]] + start[own]] = True
     return found
 
 
-def _sorted_spans(length: int, most: int):
-    """Reads pieces in hash order; yields the spans (id, tag, start, end) that repeated windows cover."""
+def _sorted_spans(length: int, most: int, keep_first: bool):
+    """Reads pieces in order of hash, id, tag and place; yields the spans (id, tag, start, end) that repeated windows cover."""
 
     def spans(table: pa.Table):
         body = table.column("body").combine_chunks()
@@ -156,18 +162,26 @@ def _sorted_spans(length: int, most: int):
         times = places.value_lengths().to_numpy().astype(np.int64)
         los = places.flatten().to_numpy()
         group = np.concatenate(([0], np.cumsum(h[1:] != h[:-1])))
-        found = repeated_windows(flat, np.cumsum(size) - size, size, group, at, n, length)
+        found = repeated_windows(flat, np.cumsum(size) - size, size, group, at, n, length, keep_first)
         piece = np.repeat(np.arange(len(n)), n)
-        found |= (times > 1)[piece]  # the piece stands elsewhere in its own text
+        if not keep_first:
+            found |= (times > 1)[piece]  # the piece stands elsewhere in its own text
         start = np.arange(len(piece)) - np.repeat(np.cumsum(n) - n, n)
         hit = np.nonzero(found)[0]
-        if len(hit):
-            cut = np.nonzero((np.diff(hit) != 1) | (np.diff(piece[hit]) != 0))[0]
-            a, b = hit[np.concatenate(([0], cut + 1))], hit[np.concatenate((cut, [len(hit) - 1]))]
-            run = np.repeat(np.arange(len(a)), times[piece[a]])  # once for each place of the piece
-            base = los[ragged((np.cumsum(times) - times)[piece[a]], times[piece[a]])]
-            rows = pa.array(piece[a][run])
-            yield pa.RecordBatch.from_arrays([table.column("id").combine_chunks().take(rows), table.column("tag").combine_chunks().take(rows), pa.array(base + start[a][run]), pa.array(base + start[b][run] + length)], ["id", "tag", "start", "end"])
+        cut = np.nonzero((np.diff(hit) != 1) | (np.diff(piece[hit]) != 0))[0]
+        a, b = (hit[np.concatenate(([0], cut + 1))], hit[np.concatenate((cut, [len(hit) - 1]))]) if len(hit) else (hit, hit)
+        first = np.cumsum(times) - times
+        many = np.ones(len(a), np.int64) if keep_first else times[piece[a]]
+        run = np.repeat(np.arange(len(a)), many)  # once for each place of the piece, or for the first
+        base = los[ragged(first[piece[a]], many)]
+        rows, lo, hi = piece[a][run], base + start[a][run], base + start[b][run] + length
+        if keep_first:  # the other places of a piece go as a whole
+            rest = np.repeat(np.arange(len(n)), times - 1)
+            base = los[ragged(first + 1, times - 1)]
+            rows, lo, hi = np.concatenate((rows, rest)), np.concatenate((lo, base)), np.concatenate((hi, base + n[rest] - 1 + length))
+        if len(rows):
+            rows = pa.array(rows)
+            yield pa.RecordBatch.from_arrays([table.column("id").combine_chunks().take(rows), table.column("tag").combine_chunks().take(rows), pa.array(lo), pa.array(hi)], ["id", "tag", "start", "end"])
 
     def run(batches):
         held: list[pa.RecordBatch] = []
@@ -266,7 +280,7 @@ def _same_row(a: DataFrame, b: DataFrame):
     return a["id"].eqNullSafe(b["id"]) & (a["tag"] == b["tag"])
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, anchor: int = ANCHOR, hot: int = HOT):
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, anchor: int = ANCHOR, hot: int = HOT, keep_first: bool = False):
     """(rows, spans, copied): `rows` is (id, tag, text), tag telling rows of one id apart; `spans` (id, tag, start, end) are
     covered by repeated windows; `copied` (id, tag, first) lists rows whose whole text occurs in several rows.
 
@@ -283,7 +297,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
     kind = "id long, h long, lo long, at int, n int, first int"
     found = materialize(rows.select("id", "text").mapInArrow(_anchor_rows(length, anchor), kind), "anchors")
-    repeated = found.groupBy("h").agg(F.count("*").alias("n_all"), F.sum("first").alias("texts")).where("n_all > 1")
+    # written, so that both sides of the join are plain shuffles, of which Spark splits a very frequent gram
+    repeated = materialize(found.groupBy("h").agg(F.count("*").alias("n_all"), F.sum("first").alias("texts")).where("n_all > 1"), "repeated-anchors")
     # Places go by id alone: texts that share an id look at each other's places too, which adds pieces and loses none. So a
     # null id may share a key with one that is a number; a plain key keeps one partitioning for both aggregates and the join.
     key = F.coalesce(F.col("id"), F.lit(-(1 << 63))).alias("key")
@@ -294,14 +309,16 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     mine = F.expr("not exists(coalesce(skip, array()), s -> s.id <=> id and s.tag = tag)")
     found_in = rows.withColumn("key", key).join(by_key.join(skip, "key", "left"), "key").where(mine).select("id", "tag", "text", "places")
     usual = found_in.withColumn("places", F.filter("places", lambda p: p["texts"] <= hot)).where(F.size("places") > 0)
-    pieces = usual.mapInArrow(_cut(length), _PIECE).repartition("h").sortWithinPartitions("h")
-    spans = pieces.mapInArrow(_sorted_spans(length, PIECES), "id long, tag long, start long, end long")
+    pieces = usual.mapInArrow(_cut(length), _PIECE).repartition("h").sortWithinPartitions("h", "id", "tag", F.col("los")[0])
+    spans = pieces.mapInArrow(_sorted_spans(length, PIECES, keep_first), "id long, tag long, start long, end long")
     if not repeated.where(F.col("texts") > hot).isEmpty():
         big = found_in.withColumn("places", F.filter("places", lambda p: p["texts"] > hot)).where(F.size("places") > 0)
         windows = big.mapInArrow(_cut(length), _PIECE).mapInArrow(_windows(length), "id long, tag long, starts array<long>, mark binary")
         windows = materialize(windows, "hot-windows")
-        twice = windows.groupBy("mark").agg(F.sum(F.size("starts")).alias("n_all")).where("n_all > 1").select("mark")
-        more = windows.join(twice, "mark").select("id", "tag", F.explode("starts").alias("start"))
+        place = F.struct("id", "tag", "start")
+        windows = windows.select("id", "tag", "mark", F.explode("starts").alias("start"))
+        twice = windows.groupBy("mark").agg(F.count("*").alias("n_all"), F.min(place).alias("head")).where("n_all > 1").select("mark", "head")
+        more = windows.join(twice, "mark").where(F.lit(not keep_first) | ~place.eqNullSafe(F.col("head"))).select("id", "tag", "start")
         more = more.withColumn("end", F.col("start") + length)
         spans = spans.unionByName(more)
     return rows, spans, copied
@@ -363,9 +380,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return joined.mapInArrow(_removed(length), kind).withColumnRenamed("id", id_col)
 
 
-def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, anchor: int = ANCHOR, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
-    """(rows, verdict): rows as of repeated_spans; verdict (id, tag, spans, whole) of the rows that lose bytes, without texts."""
-    rows, spans, copied = repeated_spans(docs, id_col, text_col, length, anchor, hot)
+def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, anchor: int = ANCHOR, hot: int = HOT, keep_first: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(rows, verdict): rows as of repeated_spans; verdict (id, tag, spans, whole) of the rows that lose bytes, without texts.
+
+    With `keep_first`, each string's occurrence of the least (id, tag, place) is left; of rows equal in id and text, all that
+    one of them loses all lose."""
+    rows, spans, copied = repeated_spans(docs, id_col, text_col, length, anchor, hot, keep_first)
+    if keep_first:
+        copied = copied.where(~F.col("first"))
     # the longest end of each start, so that many equal spans of one text come as one
     per_row = spans.groupBy("id", "tag", "start").agg(F.max("end").alias("end"))
     per_row = per_row.groupBy("id", "tag").agg(F.collect_list(F.struct("start", "end")).alias("spans"), F.lit(False).alias("whole"))

@@ -123,6 +123,26 @@ def test_repeated_bytes_go(spark, docs, hot):
     assert sorted(got, key=str) == brute_removed([(r.doc_id, r.text) for r in docs.collect()], 30)
 
 
+@pytest.mark.parametrize("hot", [50_000, 3])
+def test_all_but_the_first_occurrence_go(spark, docs, hot):
+    some = docs.where("doc_id is null or doc_id <> 7")  # ids stand once
+    twice = "a passage that this text holds three times. "
+    some = some.unionByName(make(spark, [(950, twice * 3 + "end"), (951, "other " + twice)]))
+    _, verdict = suffix_dedup.verdicts(some, length=30, anchor=8, hot=hot, keep_first=True)
+    found = {r.id: r for r in verdict.collect()}
+    texts = sorted([(r.doc_id, (r.text or "").encode()) for r in some.collect()], key=lambda x: -1 if x[0] is None else x[0])
+    seen = set()
+    for i, body in texts:
+        gone, mine = bytearray(len(body)), set()
+        for at in range(len(body) - 29):
+            if body[at : at + 30] in seen or body[at : at + 30] in mine:
+                gone[at : at + 30] = b"\1" * 30
+            mine.add(body[at : at + 30])
+        seen |= mine
+        left, _ = suffix_dedup.cut(body, found[i].spans, found[i].whole, 30) if i in found else (body, [])
+        assert left == bytes(x for x, g in zip(body, gone) if not g), i
+
+
 def test_packing(spark, docs):
     pieces, placed = packing.pack_documents(docs, capacity=64)
     got, stored = placed.collect(), pieces.collect()
@@ -214,22 +234,29 @@ def test_damaged_media(spark):
 
 
 def test_leaks(spark, docs):
+    long = " ".join(f"w{i}" for i in range(5000)) + " three word item " + " ".join(f"v{i}" for i in range(300))
+    docs = docs.unionByName(make(spark, [(970, long), (970, "tiny"), (971, long)]))
     pairs = [(r.doc_id, r.text) for r in docs.collect()]
-    items = [(1, " ".join(pairs[2][1].split()[1:20])), (2, None), (3, "no such words here at all"), (4, pairs[46][1]), (5, "x"), (6, "")]
-    got = {(r.doc_id, r.item_id): r.n_shared for r in decontaminate.leaks(docs, spark.createDataFrame(items, "item_id long, text string"), block=2).collect()}
+    items = [(1, " ".join(pairs[2][1].split()[1:20])), (2, None), (3, "no such words here at all"), (4, pairs[46][1]), (5, "x"), (6, ""), (7, "Three word, item"), (8, long), (9, "w7 w8")]
+    frame = spark.createDataFrame(items, "item_id long, text string")
+    got = Counter((r.doc_id, r.item_id, r.n_shared) for r in decontaminate.leaks(docs, frame, block=2).collect())
 
-    def grams(t):
-        w = decontaminate._WORD.findall((t or "").lower())
-        k = min(5, len(w))
-        return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if w else set()
+    def grams(t, k):
+        w = re.findall(r"\w+", (t or "").lower())
+        return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}
 
-    want = {}
+    want = Counter()
     for d, t in pairs:
         for i, q in items:
-            a, b = grams(q), grams(t)
-            if a and len(a & b) >= 0.8 * len(a):
-                want[d, i] = len(a & b)
-    assert got == want
+            k = min(5, len(re.findall(r"\w+", q or "")))
+            a = grams(q, k) if k else set()
+            if a and len(a & grams(t, k)) >= 0.8 * len(a):
+                want[d, i, len(a & grams(t, k))] += 1
+    assert got == want and want[970, 7, 1] == want[971, 9, 1] == 1
+    kept = decontaminate.without_leaks(docs, frame, block=3)
+    gone = {(d, t) for d, t in pairs for i, q in items for k in [min(5, len(re.findall(r"\w+", q or "")))] if k and len(grams(q, k) & grams(t, k)) >= 0.8 * len(grams(q, k))}
+    assert kept.columns == docs.columns
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter(p for p in pairs if p not in gone)
 
 
 def brute_spans(pairs, run, least):
@@ -382,12 +409,42 @@ def test_pipeline_stages(spark, tmp_path):
         sizes.append(docs.count())
         if name == "near_dedup":
             assert docs.where("doc_id = 3").count() <= 1
-            assert simhash.near_duplicates(docs).where("doc_id <> component_id").count() == 0
+            assert near_copies.near_copies(docs).groupBy("component").count().where("count > 1").count() == 0
         if name == "decontamination":
             assert decontaminate.leaks(docs, spark.read.parquet(f"{sf}/benchmark.parquet")).count() == 0
     assert sizes[0] >= 190 and all(a >= b > 0 for a, b in zip(sizes[:4], sizes[1:4]))
 
 
+def test_pipeline_stages_pass_other_columns(spark, tmp_path):
+    """Clashing names, no n_chars, null and shared ids, a text of 10 MB, and empty tables."""
+    import corpus_pipeline as c
+
+    parts = ["the", "and", "of", "that", "it", "was", "in", "on"]
+    r = random.Random(4)
+    plain = [" ".join("".join(r.choices(parts, k=3)) for _ in range(80)) for _ in range(12)]
+    item = "some words of a benchmark item that nobody should train on"
+    passage = "".join(r.choices("abcdefgh ", k=400))
+    texts = [(None, plain[0]), (None, plain[1] + " " + item), (5, plain[2]), (5, plain[3] + " " + item), (6, plain[4] + passage), (7, plain[5] + passage), (8, None), (9, " ".join(plain[6:9]) * 13_000)]
+    names = "doc_id long, text string, lang string, score string, lang_pred string, _tag string, _id long, _spans int, _whole int, id string, tag string, doc string, spans int"
+    docs = spark.createDataFrame([(i, t, "en", "s", "p", "t", 1, 2, 3, "i", "g", "d", 4) for i, t in texts], names)
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert len(texts[-1][1]) > 10_000_000
+    now = docs
+    for name, stage in c.STAGES[:4]:
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+        now = stage(spark, now, str(tmp_path))
+        assert now.columns == docs.columns
+        now.write.parquet(f"{tmp_path}/{name}")
+        now = spark.read.parquet(f"{tmp_path}/{name}")
+    got = now.collect()
+    assert all(r[3:] == ("s", "p", "t", 1, 2, 3, "i", "g", "d", 4) for r in map(tuple, got))
+    kept = sorted(((r.doc_id, r.text) for r in got), key=str)
+    last = next(t for i, t in kept if i == 9)
+    assert sorted((i, t) for i, t in kept if i not in (None, 9)) == [(5, plain[2]), (6, plain[4] + passage), (7, plain[5])] and len(last) < 50_000
+    assert [t for i, t in kept if i is None] == [plain[0]]
+    assert c.pack_sequences(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
 def jaccard(a, b):
     def grams(t):
         w = t.lower().split()
