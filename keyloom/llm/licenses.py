@@ -1,10 +1,12 @@
-"""License scans: sparse TF-IDF cosine of header lines to notice templates, then inheritance from the nearest ancestor.
+"""License scans: sparse TF-IDF cosine of headers and licence files to templates, then inheritance from the nearest ancestor.
 
-Every line of a text is a sparse vector over its words. Inverse document frequencies are counted over all lines of all
-texts for the templates' words; a word in no template has the weight of a word seen nowhere, since it adds to a line's
-norm alone. A line whose cosine to some template reaches `threshold` gives its file that license. A file without one of
-its own takes the license of the nearest directory above it that has one: a directory's license is that of the best
-matching file directly in it. Distinct directories, not files, are joined with their ancestors."""
+A passage of a text is a sparse vector over its words. Passages are its lines, its blocks of neighbouring lines that are not
+blank (a notice broken over the lines of a comment), and of licence files the whole text. Inverse document frequencies are
+counted over all lines of all texts for the templates' words; a word in no template has the weight of a word seen nowhere,
+since it adds to a passage's norm alone. A passage whose cosine to some template reaches `threshold` gives its file that
+license. A file without one of its own takes the license of the nearest directory above it that has one: a directory's
+license is that of the best matching licence file (LICENSE, COPYING, NOTICE and the like) directly in it; what stands in
+the header of another file is that file's alone. Distinct directories, not files, are joined with their ancestors."""
 
 from __future__ import annotations
 
@@ -21,13 +23,15 @@ from pyspark.sql import functions as F
 from ._shared import bounded_batches, materialize
 
 THRESHOLD = 0.6
+LICENSE_FILE = r"(?i)^(licen[cs]e|copying|notice|unlicense)([._-].*)?$"
 _WORD = re.compile(r"\w+")
 
-# Usual notices of well-known licenses.
+# Usual notices of well-known licenses, and the heads of their files.
 TEMPLATES = {
     "Apache-2.0": [
         "Licensed under the Apache License, Version 2.0.",
         'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.',
+        "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/",
     ],
     "BSD-3-Clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "Released under the BSD 3-Clause License."],
     "CC-BY-4.0": ["This work is licensed under a Creative Commons Attribution 4.0 International License.", "Licensed under CC BY 4.0."],
@@ -35,13 +39,16 @@ TEMPLATES = {
     "GPL-3.0": [
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version.",
+        "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007. Copyright (C) 2007 Free Software Foundation, Inc. Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed.",
     ],
     "MIT": [
         "Released under the MIT License.",
         'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction',
     ],
-    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
+    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Mozilla Public License Version 2.0"],
 }
+for _name, _notices in TEMPLATES.items():
+    _notices.append(f"SPDX-License-Identifier: {_name}")
 
 
 def _words(line: str) -> list[str]:
@@ -67,30 +74,48 @@ class Matcher:
         self.rows = np.array(rows)
         self.squares = {w: self.idf[i] ** 2 for w, i in self.place.items()}
 
-    def best(self, text: str, threshold: float) -> tuple[str | None, float]:
-        """The license and cosine of the best line; equal cosines go to the first template by name. (None, best cosine) below."""
+    def best(self, text: str, threshold: float, whole: bool = False) -> tuple[str | None, float]:
+        """The license and cosine of the best passage; equal cosines go to the first template by name. (None, best cosine) below."""
         found, top = None, 0.0
         squares = self.squares
-        for line in dict.fromkeys(text.split("\n")):
-            words = _words(line)
-            known = [w for w in words if w in squares]
-            if not known:
-                continue
-            tf = Counter(known)
-            inside = sum(n * n * squares[w] for w, n in tf.items())
-            if len(words) == len(known):
-                outside = 0.0
-            else:
-                outside = self.rare * sum(n * n for n in Counter(w for w in words if w not in squares).values())
+
+        def look(tf: Counter):
+            nonlocal found, top
+            known = {w: n for w, n in tf.items() if w in squares}
+            inside = sum(n * n * squares[w] for w, n in known.items())
+            outside = self.rare * (sum(n * n for n in tf.values()) - sum(n * n for n in known.values()))
             norm = math.sqrt(inside + outside)
-            if math.sqrt(inside) / norm <= top:  # a bound on the cosine
-                continue
-            at = np.fromiter((self.place[w] for w in tf), np.int64, len(tf))
-            cosines = self.rows[:, at] @ (np.fromiter(tf.values(), np.float64, len(tf)) * self.idf[at]) / norm
+            if not known or math.sqrt(inside) / norm <= top:  # a bound on the cosine
+                return
+            at = np.fromiter((self.place[w] for w in known), np.int64, len(known))
+            cosines = self.rows[:, at] @ (np.fromiter(known.values(), np.float64, len(known)) * self.idf[at]) / norm
             best = int(np.round(cosines, 12).argmax())
             if cosines[best] > top:
                 top = float(cosines[best])
                 found = self.names[best] if top >= threshold else found
+
+        every: list[Counter] = []
+        block: list[Counter] = []
+        lines: dict[str, Counter] = {}
+
+        def close():
+            if len(block) > 1:
+                look(sum(block, Counter()))
+            block.clear()
+
+        for line in text.split("\n"):
+            if line not in lines:
+                lines[line] = Counter(_words(line))
+                look(lines[line])
+            if lines[line]:
+                block.append(lines[line])
+                if whole:
+                    every.append(lines[line])
+            elif not line.strip():
+                close()
+        close()
+        if whole and len(every) > 1:
+            look(sum(every, Counter()))
         return found, min(top, 1.0)
 
 
@@ -116,9 +141,9 @@ def line_frequencies(docs: DataFrame, text_col: str, words: list[str]) -> tuple[
 
 
 def scan(docs: DataFrame, path: Column, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, list[str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """(id, path, license, cosine, origin, from_dir) of every row of `docs`.
+    """(id, path, license, cosine, origin, from_dir, of_file) of every row of `docs`; of_file tells licence files.
 
-    origin is "own", "inherited" (from_dir says from which directory) or "none". Null and empty texts match nothing; a null
+    Texts are compared whole, whatever their length. origin is "own", "inherited" (from_dir says from which directory) or "none". Null and empty texts match nothing; a null
     path has no ancestors. Repeated rows keep a result each. Ties for a directory's license go to the higher cosine, then
     to the first name."""
     templates = templates or TEMPLATES
@@ -129,15 +154,16 @@ def scan(docs: DataFrame, path: Column, id_col: str = "doc_id", text_col: str =
 
     def run(batches):
         for batch in batches:
-            found = [matcher.best(t or "", threshold) for t in batch.column(2).to_pylist()]
+            found = [matcher.best(t or "", threshold, f) for t, f in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             frame = pd.DataFrame(found, columns=["license", "cosine"])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(frame.license.tolist(), pa.string()), pa.array(frame.cosine.to_numpy(np.float64))], ["id", "path", "own", "cosine"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(frame.license.tolist(), pa.string()), pa.array(frame.cosine.to_numpy(np.float64)), batch.column(3)], ["id", "path", "own", "cosine", "of_file"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), path.cast("string").alias("path"), F.col(text_col).cast("string").alias("text"))
-    own = materialize(rows.mapInArrow(run, "id long, path string, own string, cosine double"), "notices")
+    of_file = F.coalesce(F.element_at(F.split("path", "/"), -1).rlike(LICENSE_FILE), F.lit(False))
+    own = materialize(rows.withColumn("of_file", of_file).mapInArrow(run, "id long, path string, own string, cosine double, of_file boolean"), "notices")
     own = own.withColumn("dir", F.regexp_replace("path", "/?[^/]*$", ""))
     best = F.min_by("own", F.struct(-F.col("cosine"), F.col("own")))
-    holders = own.where("own is not null and dir is not null").groupBy("dir").agg(best.alias("license")).withColumnRenamed("dir", "above")
+    holders = own.where("own is not null and dir is not null and of_file").groupBy("dir").agg(best.alias("license")).withColumnRenamed("dir", "above")
     dirs = own.where("own is null and dir is not null").select("dir").distinct()
     parts = F.split("dir", "/")
     above = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))
@@ -147,4 +173,4 @@ def scan(docs: DataFrame, path: Column, id_col: str = "doc_id", text_col: str =
     origin = F.when(F.col("own").isNotNull(), "own").when(F.col("near").isNotNull(), "inherited").otherwise("none")
     license = F.coalesce("own", "near.license")
     from_dir = F.when(F.col("own").isNull(), F.col("near.above"))
-    return joined.select(F.col("id").alias(id_col), "path", license.alias("license"), F.round("cosine", 6).alias("cosine"), origin.alias("origin"), from_dir.alias("from_dir"))
+    return joined.select(F.col("id").alias(id_col), "path", license.alias("license"), F.round("cosine", 6).alias("cosine"), origin.alias("origin"), from_dir.alias("from_dir"), "of_file")

@@ -16,10 +16,11 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents have no paths: source, then 5,000s, 500s and 50s of doc_id stand for directories.
 
     Ids that 63, 21 or 7 divides lie in the directory of the source, of the 5,000 or of the 500, so that directories above
-    others hold files; all others lie in the lowest."""
+    others hold files; all others lie in the lowest. Every fourth document is a licence file."""
     i = F.col("doc_id")
     tops = [F.when(i % step != 0, F.floor(i / size)) for step, size in ((63, 5000), (21, 500), (7, 50))]
-    return licenses.scan(_table(spark, sf_dir, "documents"), F.concat_ws("/", "source", *tops, i))
+    name = F.when(i % 4 == 0, F.concat(F.lit("LICENSE."), i)).otherwise(F.concat(i, F.lit(".txt")))
+    return licenses.scan(_table(spark, sf_dir, "documents"), F.concat_ws("/", "source", *tops, name))
 
 
 def op2_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
