@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from ._shared import bounded_batches, claim
 
 PER_LANGUAGE = 400  # training texts of a language at most, about; chosen by a hash of the id
+PER_TEXT = 20_000  # characters of a training text at most
 SEGMENT = 40  # words of a chain; longer texts are cut into several
 SPACE = 1 << 18
 LEXICON = 300  # words in a language's lexicon
@@ -33,7 +34,7 @@ def words(text: str | None) -> list[str]:
 
 def features(word: str, lexicons: dict[str, int]) -> list[int]:
     """Hashed features of a word; `lexicons` maps a word to the bits of the languages that list it."""
-    w = f"<{word}>" if len(word) <= 40 else f"<{word[:20]}{word[-20:]}>"
+    w = f"<{word}>"
     found = {f"w{word}", *(f"p{w[:k]}" for k in (2, 3, 4)), *(f"s{w[-k:]}" for k in (2, 3, 4))}
     found.update(w[i : i + 2] for i in range(len(w) - 1))
     found.update(w[i : i + 3] for i in range(len(w) - 2))
@@ -192,7 +193,8 @@ def held_out_of(id_col: str, fold: int = 2):
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fold: int | None = 2, per_language: int = PER_LANGUAGE) -> Crf:
-    """Trains on about `per_language` labelled texts of each language (a bounded sample, by a hash of the id) outside `fold`."""
+    """Trains on about `per_language` labelled texts of each language (a bounded sample, by a hash of the id; PER_TEXT
+    characters of each at most) outside `fold`."""
     usable = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull())
     if fold is not None:
         usable = usable.where(~held_out_of(id_col, fold))
@@ -201,7 +203,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     wanted = F.lit(False)
     for lang, n in counts.items():
         wanted = wanted | ((F.col(lang_col) == lang) & (mark < int(min(1.0, per_language / n) * (1 << 30))))
-    rows = usable.where(wanted).select(mark.alias("m"), F.col(text_col).alias("t"), F.col(lang_col).alias("l")).collect()
+    rows = usable.where(wanted).select(mark.alias("m"), F.substring(text_col, 1, PER_TEXT).alias("t"), F.col(lang_col).alias("l")).collect()
     rows.sort(key=lambda r: (r.m, r.l, r.t))
     return train([r.t for r in rows], [r.l for r in rows])
 
@@ -209,7 +211,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 def identify(docs: DataFrame, model: Crf, text_col: str = "text") -> DataFrame:
     """All rows and columns of `docs`, and lang_pred and score (replacing columns of these names).
 
-    Null texts and texts without letters are `und` with score 0. Every word of a text counts."""
+    Null texts and texts without letters are `und` with score 0. Every word of a text counts, whole; long texts are cut into
+    chains of SEGMENT words. Equal means go to the first language by name. An empty table gives an empty result."""
     bounded_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
