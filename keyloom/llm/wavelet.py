@@ -1,8 +1,10 @@
 """Token ids kept in wavelet matrices, one file per shard.
 
 Documents are dealt by ranges of their ids, so shards follow ascending ids. A shard holds whole documents of about
-`SHARD` ids. File layout, little-endian: magic, number of ids n, planes p; per plane from the highest bit: zeros (u8),
-compressed size (u8) and the zstd-compressed packed bits; then the documents' ids and lengths, compressed alike."""
+`SHARD` ids. File layout, little-endian: magic, number of ids n, planes p, blocks k of a plane; for each plane from the
+highest bit its number of zeros; then the directory: of each plane and block the ones before it (u4) and the end of its
+bytes (u8); then the planes' blocks of BITS bits, each compressed by itself, so that rank and select touch one block of a
+plane; then the documents' ids and lengths, compressed."""
 
 from __future__ import annotations
 
@@ -19,23 +21,30 @@ from pyspark.sql import functions as F
 from ._shared import bounded_batches, materialize, shuffle_partitions
 from .tokens import encoder, public_path
 
-MAGIC = b"KLWM0001"
+MAGIC = b"KLWM0002"
 SHARD = 1 << 20
-_STEP = 512  # bits between two entries of a rank directory
+BITS = 1 << 16  # bits of a block
 
 
 def dump(ids: np.ndarray, docs: np.ndarray, lengths: np.ndarray) -> bytes:
     """The file of a shard: `ids` of all its documents in order, the documents' numbers and lengths."""
     squeeze = zstandard.ZstdCompressor(level=1).compress
     planes = max(1, int(ids.max()).bit_length()) if len(ids) else 1
-    out = [MAGIC, struct.pack("<QQ", len(ids), planes)]
+    blocks = -(-len(ids) // BITS)
+    zeros_of, before, bodies = [], np.zeros((planes, blocks), "<u4"), []
     x = ids.astype(np.uint16 if planes <= 16 else np.uint32)
-    for bit in range(planes - 1, -1, -1):
+    for p, bit in enumerate(range(planes - 1, -1, -1)):
         one = (x & x.dtype.type(1 << bit)) != 0
         zeros = x.take(np.flatnonzero(~one))  # faster than masks on mixed bits
-        body = squeeze(np.packbits(one, bitorder="little").tobytes())
-        out += [struct.pack("<QQ", len(zeros), len(body)), body]
+        packed = np.packbits(one, bitorder="little")
+        if blocks:
+            ones = np.add.reduceat(one, np.arange(0, len(one), BITS), dtype=np.int64)
+            before[p] = np.cumsum(ones) - ones
+        bodies += [squeeze(packed[k : k + BITS // 8].tobytes()) for k in range(0, len(packed), BITS // 8)]
+        zeros_of.append(len(zeros))
         x = np.concatenate((zeros, x.take(np.flatnonzero(one))))
+    ends = np.cumsum([len(b) for b in bodies]).astype("<u8")
+    out = [MAGIC, struct.pack("<QQQ", len(ids), planes, blocks), np.array(zeros_of, "<u8").tobytes(), before.tobytes(), ends.tobytes(), *bodies]
     for column in (docs.astype("<i8"), lengths.astype("<i8")):
         body = squeeze(column.tobytes())
         out += [struct.pack("<QQ", len(column), len(body)), body]
@@ -43,50 +52,80 @@ def dump(ids: np.ndarray, docs: np.ndarray, lengths: np.ndarray) -> bytes:
 
 
 class WaveletMatrix:
-    """Reads a shard file: access, rank (count up to a place), select (place of an occurrence), and whole decoding."""
+    """Reads a shard file: access, rank (count up to a place), select (place of an occurrence), and whole decoding. Blocks are
+    unpacked when they are needed."""
 
     def __init__(self, data: bytes):
         if data[:8] != MAGIC:
             raise ValueError("not a wavelet matrix file")
-        self.n, self.planes = struct.unpack_from("<QQ", data, 8)
-        unpack, at = zstandard.ZstdDecompressor().decompress, 24
-        self.zeros, self.bits = [], []
-        for _ in range(self.planes):
-            zeros, size = struct.unpack_from("<QQ", data, at)
-            self.zeros.append(zeros)
-            self.bits.append(np.frombuffer(unpack(data[at + 16 : at + 16 + size]), np.uint8))
-            at += 16 + size
+        self.n, self.planes, self.blocks = struct.unpack_from("<QQQ", data, 8)
+        self._data, at, cells = data, 32, self.planes * self.blocks
+        self.zeros = np.frombuffer(data, "<u8", self.planes, at).astype(np.int64).tolist()
+        at += 8 * self.planes
+        self._before = np.frombuffer(data, "<u4", cells, at).astype(np.int64).reshape(self.planes, self.blocks)
+        at += 4 * cells
+        ends = np.frombuffer(data, "<u8", cells, at).astype(np.int64) + at + 8 * cells
+        self._edges = np.concatenate(([at + 8 * cells], ends))
+        at = int(self._edges[-1])
         columns = []
         for _ in range(2):
             _, size = struct.unpack_from("<QQ", data, at)
-            columns.append(np.frombuffer(unpack(data[at + 16 : at + 16 + size]), "<i8"))
+            columns.append(np.frombuffer(zstandard.ZstdDecompressor().decompress(data[at + 16 : at + 16 + size]), "<i8"))
             at += 16 + size
         self.docs, self.lengths = columns
-        self._ranks: list[np.ndarray] | None = None
+        self._open: dict[int, np.ndarray] = {}
+
+    def _block(self, plane: int, block: int) -> np.ndarray:
+        """The bits of a block, packed."""
+        at = plane * self.blocks + block
+        if at not in self._open:
+            body = self._data[self._edges[at] : self._edges[at + 1]]
+            self._open[at] = np.frombuffer(zstandard.ZstdDecompressor().decompress(body), np.uint8)
+        return self._open[at]
 
     def _rank1(self, plane: int, at: int) -> int:
-        """Ones before place `at` of a plane, from the directory and the bits of one step."""
-        if self._ranks is None:
-            step = _STEP // 8
-            self._ranks = [np.concatenate(([0], np.cumsum(np.add.reduceat(np.bitwise_count(b).astype(np.int64), np.arange(0, len(b), step))))) if len(b) else np.zeros(1, np.int64) for b in self.bits]
-        block = at // _STEP
-        rest = np.unpackbits(self.bits[plane][block * (_STEP // 8) : (at + 7) // 8], bitorder="little")
-        return int(self._ranks[plane][block]) + int(rest[: at - block * _STEP].sum())
+        """Ones before place `at` of a plane: those before its block, from the directory, and those of the block."""
+        if at >= self.n:
+            return self.n - self.zeros[plane]
+        block, rest = divmod(at, BITS)
+        bits = self._block(plane, block)
+        part = int(np.bitwise_count(bits[: rest >> 3]).sum(dtype=np.int64))
+        return int(self._before[plane, block]) + part + (int(bits[rest >> 3]) & ((1 << (rest & 7)) - 1)).bit_count()
+
+    def _select(self, plane: int, bit: int, k: int) -> int:
+        """The place of the k-th one or zero of a plane: its block by the directory, then within the block."""
+        before = self._before[plane] if bit else np.arange(self.blocks) * BITS - self._before[plane]
+        block = int(np.searchsorted(before, k, side="right")) - 1
+        bits = np.unpackbits(self._block(plane, block), bitorder="little")
+        return block * BITS + int(np.flatnonzero(bits == bit)[k - before[block]])
 
     def access(self, at: int) -> int:
         """The id at a place from 0."""
         value = 0
         for p in range(self.planes):
-            bit = self.bits[p][at >> 3] >> (at & 7) & 1
+            bit = int(self._block(p, at // BITS)[at % BITS >> 3]) >> (at & 7) & 1
             ones = self._rank1(p, at)
             at = self.zeros[p] + ones if bit else at - ones
-            value = value << 1 | int(bit)
+            value = value << 1 | bit
         return value
 
-    def rank(self, value: int, end: int) -> int:
-        """Occurrences of an id before place `end`."""
-        if value >> self.planes:
-            return 0
+    def access_many(self, at: np.ndarray) -> np.ndarray:
+        """The ids at many places: every plane is opened once and its blocks' ones are summed up by byte."""
+        at, value = at.astype(np.int64), np.zeros(len(at), np.int64)
+        for p in range(self.planes if len(at) else 0):
+            bits = np.concatenate([self._block(p, k) for k in range(self.blocks)])
+            inner = np.bitwise_count(bits).astype(np.int64)
+            inner = np.cumsum(inner) - inner  # ones before each byte, less those before its block
+            byte, block = at >> 3, at // BITS
+            ones = self._before[p, block] + inner[byte] - inner[block * (BITS // 8)]
+            ones += np.bitwise_count(bits[byte] & ((1 << (at & 7)) - 1).astype(np.uint8)).astype(np.int64)
+            bit = bits[byte] >> (at & 7).astype(np.uint8) & 1
+            at = np.where(bit == 1, self.zeros[p] + ones, at - ones)
+            value = value << 1 | bit
+        return value
+
+    def _range(self, value: int, end: int) -> tuple[int, int]:
+        """Where the occurrences of an id before `end` stand after the last plane."""
         start = 0
         for p in range(self.planes):
             a, b = self._rank1(p, start), self._rank1(p, end)
@@ -94,29 +133,37 @@ class WaveletMatrix:
                 start, end = self.zeros[p] + a, self.zeros[p] + b
             else:
                 start, end = start - a, end - b
+        return start, end
+
+    def rank(self, value: int, end: int) -> int:
+        """Occurrences of an id before place `end`."""
+        if value >> self.planes:
+            return 0
+        start, end = self._range(value, end)
         return end - start
 
     def count(self, value: int) -> int:
         return self.rank(value, self.n)
 
     def select(self, value: int, k: int) -> int:
-        """The place of occurrence number k (from 0) of an id; -1 if there are not so many."""
-        lo, hi = 0, self.n
-        if self.count(value) <= k:
+        """The place of occurrence number k (from 0) of an id, from the last plane up; -1 if there are not so many."""
+        if value >> self.planes:
             return -1
-        while lo < hi:
-            mid = (lo + hi) // 2
-            if self.rank(value, mid + 1) > k:
-                hi = mid
-            else:
-                lo = mid + 1
-        return lo
+        start, end = self._range(value, self.n)
+        if k >= end - start:
+            return -1
+        at = start + k
+        for p in range(self.planes - 1, -1, -1):
+            bit = value >> (self.planes - 1 - p) & 1
+            at = self._select(p, bit, at - self.zeros[p] if bit else at)
+        return at
 
     def decode(self) -> np.ndarray:
         """All ids in order, by undoing the planes' stable partitions from the lowest bit up."""
         x = np.zeros(self.n, np.uint16 if self.planes <= 16 else np.uint32)
         for p in range(self.planes - 1, -1, -1):
-            one = np.unpackbits(self.bits[p], count=self.n, bitorder="little").view(bool)
+            bits = np.concatenate([self._block(p, k) for k in range(self.blocks)]) if self.blocks else np.empty(0, np.uint8)
+            one = np.unpackbits(bits, count=self.n, bitorder="little").view(bool)
             y = np.empty_like(x)
             y[np.flatnonzero(~one)] = x[: self.zeros[p]]
             y[np.flatnonzero(one)] = x[self.zeros[p] :] | x.dtype.type(1 << (self.planes - 1 - p))
@@ -169,7 +216,8 @@ def write_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def read_documents(shards: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(id, start, n_tokens, ids_crc32) of every document, decoded from shard files; start counts all ids before it."""
+    """(id, start, n_tokens, ids_crc32, last_id) of every document, decoded from shard files; start counts all ids before
+    it, and last_id is the id at the document's last place, by access through the planes."""
 
     def run(batches):
         for batch in batches:
@@ -181,14 +229,14 @@ def read_documents(shards: DataFrame, id_col: str = "doc_id") -> DataFrame:
                 crc = [zlib.crc32(ids[a:b]) for a, b in zip(starts.tolist(), ends.tolist())]
                 n = len(crc)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, batch.column(0)[row].as_py(), np.int64)), pa.array(np.full(n, batch.column(1)[row].as_py(), np.int64)), pa.array(matrix.docs, mask=matrix.docs == -(1 << 63)), pa.array(starts), pa.array(matrix.lengths), pa.array(crc, pa.int64())],
-                    ["part", "seq", "id", "local", "n_tokens", "ids_crc32"],
+                    [pa.array(np.full(n, batch.column(0)[row].as_py(), np.int64)), pa.array(np.full(n, batch.column(1)[row].as_py(), np.int64)), pa.array(matrix.docs, mask=matrix.docs == -(1 << 63)), pa.array(starts), pa.array(matrix.lengths), pa.array(crc, pa.int64()), pa.array(matrix.access_many(ends - 1))],
+                    ["part", "seq", "id", "local", "n_tokens", "ids_crc32", "last_id"],
                 )
 
-    found = shards.select("part", "seq", "data").mapInArrow(run, "part long, seq long, id long, local long, n_tokens long, ids_crc32 long")
+    found = shards.select("part", "seq", "data").mapInArrow(run, "part long, seq long, id long, local long, n_tokens long, ids_crc32 long, last_id long")
     totals = shards.groupBy("part").agg(F.sum("n_tokens").alias("all"))
     totals = totals.select("part", (F.sum("all").over(Window.orderBy("part")) - F.col("all")).alias("before"))
     within = F.sum("n_tokens").over(Window.partitionBy("part").orderBy("seq")) - F.col("n_tokens")
     bases = shards.select("part", "seq", within.alias("within")).join(totals, "part")
     bases = bases.select("part", "seq", (F.col("before") + F.col("within")).alias("base"))
-    return found.join(bases, ["part", "seq"]).select(F.col("id").alias(id_col), (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
+    return found.join(bases, ["part", "seq"]).select(F.col("id").alias(id_col), (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids_crc32", "last_id")

@@ -183,15 +183,21 @@ def test_chunks_encode_as_whole_texts():
         assert flat.tolist() == [i for t in texts for i in enc.tokenizer.encode(t, add_special_tokens=False).ids]
 
 
-def test_wavelet_matrix():
+@pytest.mark.parametrize("bits", [64, 1 << 16])
+def test_wavelet_matrix(bits, monkeypatch):
+    monkeypatch.setattr(wavelet, "BITS", bits)
     x = np.random.default_rng(0).integers(0, 900, 3000).astype(np.uint32)
     m = wavelet.WaveletMatrix(wavelet.dump(x, np.array([1, 2]), np.array([1000, 2000])))
     assert (m.decode() == x).all() and m.lengths.tolist() == [1000, 2000]
-    assert [m.access(i) for i in range(0, 3000, 101)] == x[::101].tolist()
-    v = int(x[17])
-    assert m.count(v) == (x == v).sum() and m.rank(v, 500) == (x[:500] == v).sum()
-    assert [m.select(v, k) for k in range(m.count(v))] == np.flatnonzero(x == v).tolist() and m.select(v, 10**6) == -1
-    assert wavelet.WaveletMatrix(wavelet.dump(np.zeros(0, np.uint32), np.zeros(0, int), np.zeros(0, int))).decode().size == 0
+    assert [m.access(i) for i in range(0, 3000, 101)] == x[::101].tolist() and (m.access_many(np.arange(3000)) == x).all()
+    for v in (int(x[17]), 0, 899, 901, 1 << 20):
+        places = np.flatnonzero(x == v).tolist()
+        assert m.count(v) == len(places) and all(m.rank(v, end) == sum(p < end for p in places) for end in (0, 1, 63, 64, 500, 2999, 3000))
+        assert [m.select(v, k) for k in range(m.count(v))] == places and m.select(v, len(places)) == -1
+    fresh = wavelet.WaveletMatrix(wavelet.dump(x, np.array([1]), np.array([3000])))
+    assert fresh.access(1234) == x[1234] and len(fresh._open) <= 2 * fresh.planes  # one token opens a block or two a plane
+    empty = wavelet.WaveletMatrix(wavelet.dump(np.zeros(0, np.uint32), np.zeros(0, int), np.zeros(0, int)))
+    assert empty.decode().size == 0 and empty.count(5) == 0 and empty.select(5, 0) == -1
 
 
 def test_wavelet_round_trip(spark, docs):
@@ -203,30 +209,53 @@ def test_wavelet_round_trip(spark, docs):
     start, want = 0, []
     for r in order:
         ids = np.array([*tok.encode(r.text or "", add_special_tokens=False).ids, 2], "<u4")
-        want.append((r.doc_id, start, len(ids), zlib.crc32(ids.tobytes())))
+        want.append((r.doc_id, start, len(ids), zlib.crc32(ids.tobytes()), 2))
         start += len(ids)
     assert sorted(map(tuple, got), key=lambda r: r[1]) == want
 
 
-@pytest.mark.parametrize("kind", range(5))
+@pytest.mark.parametrize("kind", [*range(5), "mixed", None])
 def test_png_filters(kind):
-    x = np.random.default_rng(kind).integers(0, 256, (9, 24)).astype(np.uint8)
-    data = media.encode_png(x, kind)
+    x = np.random.default_rng(1).integers(0, 256, (9, 24)).astype(np.uint8)
+    x[3:6] = x[3] + np.arange(3, dtype=np.uint8)[:, None]
+    x[7] = np.arange(24)
+    data = media.encode_png(x, np.arange(9) % 5 if kind == "mixed" else kind)
     assert (media.decode_png(data) == x).all()
+    assert kind is not None or {1, 2} <= set(media.choose_filters(x).tolist())
     with pytest.raises(ValueError):
         media.decode_png(data[:50] + bytes([data[50] ^ 1]) + data[51:])
     with pytest.raises(ValueError):
         media.decode_png(data[:-5])
 
 
+@pytest.mark.parametrize("shape", [(1, 576), (7, 576), (40, 576), (3, 5)])
+def test_cosine_hash_equals_the_sums(shape):
+    x = np.random.default_rng(shape[0]).integers(0, 256, shape).astype(np.uint8)
+
+    def cells(n):
+        edges = [k * n // 32 for k in range(33)]
+        return [range(a, b) if n >= 32 else [a] for a, b in zip(edges, edges[1:])]
+
+    small = [[np.mean([[float(x[r, c]) for c in cs] for r in rs]) for cs in cells(shape[1])] for rs in cells(shape[0])]
+    cos = [[math.cos(math.pi / 32 * (n + 0.5) * k) for n in range(32)] for k in range(8)]
+    low = [round(sum(small[r][c] * cos[u][r] * cos[v][c] for r in range(32) for c in range(32)), 6) for u in range(8) for v in range(8)]
+    middle = float(np.median(low[1:]))
+    assert media.cosine_hash(x) == f"{int(''.join('1' if v > middle else '0' for v in low), 2):016x}"
+
+
 def test_media(spark, docs):
-    got = {r.doc_id: r for r in media.digests(media.read_media(media.write_media(docs))).collect()}
+    docs = docs.unionByName(make(spark, [(960, "tick " * 700_000), (961, "\t" * 5000)]))
+    stored = media.write_media(docs)
+    got = {}
+    for r in media.digests(media.read_media(stored)).collect():
+        got.setdefault(r.doc_id, []).append(r)
     for r in docs.collect():
         body = (r.text or "").encode()
         full = body + b"\xff" * (max(1, -(-len(body) // 576)) * 576 - len(body))
-        g = got[r.doc_id]
-        assert (g.n_bytes, g.payload_bytes, g.payload_sha256, g.tail_crc32) == (len(body), len(full), hashlib.sha256(full).hexdigest(), zlib.crc32(full[-32:]))
-        assert len(g.feature) == 16
+        want = (len(body), len(full), hashlib.sha256(full).hexdigest(), zlib.crc32(full[-32:]))
+        hits = [g for g in got[r.doc_id] if (g.n_bytes, g.payload_bytes, g.payload_sha256, g.tail_crc32) == want]
+        assert hits and hits[0].feature == media.cosine_hash(np.frombuffer(full, np.uint8).reshape(-1, 576))
+    assert media.read_media(stored.where("id = 961").select("id", "n_bytes", F.substring("media", 1, 60).alias("media"))).first().error
 
 
 def test_damaged_media(spark):
