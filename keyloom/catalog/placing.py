@@ -52,7 +52,7 @@ def n6_plan_priority(spark, sf_dir):
     return h.join(s, "tick", "left").select("tick", change.alias("change"))
 
 
-_REQUESTS = "asked AS (SELECT (event_id * 3 - 5) AS shard, event_id % 2 = 0 AS pin, 'node-' || (event_id % 7) AS to_node FROM events WHERE event_id < 3000)"
+_REQUESTS = "asked AS (SELECT (event_id * 3 - 5) AS shard, event_id % 2 = 0 AS pin, 'node-' || (event_id % 7) AS to_node FROM events)"
 
 
 @query(with_views("ownership", "nodes") + f""", {_REQUESTS} SELECT a.shard, CASE WHEN a.shard NOT BETWEEN 0 AND 8191 THEN 'out of range' WHEN o.shard_id IS NULL THEN 'no such shard' WHEN n.address IS NULL THEN 'unknown node' ELSE 'moved' END AS move,
@@ -60,7 +60,7 @@ _REQUESTS = "asked AS (SELECT (event_id * 3 - 5) AS shard, event_id % 2 = 0 AS p
 def n9_moves_and_pins(spark, sf_dir):
     """Manual moves and pins: range, shard and node are checked; a pin is taken off and set anew."""
     e = F.col("event_id")
-    asked = b.table(spark, sf_dir, "events").where("event_id < 3000").select((e * 3 - 5).alias("shard"), (e % 2 == 0).alias("pin"), F.concat(F.lit("node-"), e % 7).alias("to_node"))
+    asked = b.table(spark, sf_dir, "events").select((e * 3 - 5).alias("shard"), (e % 2 == 0).alias("pin"), F.concat(F.lit("node-"), e % 7).alias("to_node"))
     o = b.ownership(spark).select(F.col("shard_id").alias("shard"), "target_node", F.when(F.col("pinned"), F.array(F.lit("pinned"))).otherwise(F.array().cast("array<string>")).alias("now"), F.lit(True).alias("_s"))
     n = F.broadcast(b.nodes(spark).select(F.col("address").alias("to_node"), F.lit(True).alias("_n")))  # a handful of rows
     j = asked.join(o, "shard", "left").join(n, "to_node", "left")

@@ -136,11 +136,11 @@ def z7_gate_streams(spark, sf_dir):
     return b.gates(spark).join(have, "address", "left").select(F.col("address").alias("gate"), change.alias("change"))
 
 
-@query(with_views("objects", "shards", "nodes") + f", {_PLACED} SELECT address AS node, coalesce(string_agg(object_id, ',' ORDER BY object_id), '') AS objects FROM nodes LEFT JOIN placed ON current_node = address AND object_type = 'BUILDING' GROUP BY 1")
+@query(with_views("objects", "shards", "nodes") + f", {_PLACED} SELECT address AS node, object_id FROM nodes LEFT JOIN placed ON current_node = address AND object_type = 'BUILDING'")
 def z8_node_report(spark, sf_dir):
-    """A node's report lists its objects of one type; a node without any reports an empty list."""
-    o = _placed(spark, sf_dir).where("object_type = 'BUILDING'").groupBy(F.col("current_node").alias("address")).agg(F.array_join(F.array_sort(F.collect_list("object_id")), ",").alias("objects"))
-    return b.nodes(spark).join(o, "address", "left").select(F.col("address").alias("node"), F.coalesce("objects", F.lit("")).alias("objects"))
+    """The report of each node, a row for each of its objects of one type; a node without any reports one row without an object."""
+    o = _placed(spark, sf_dir).where("object_type = 'BUILDING'").select(F.col("current_node").alias("address"), "object_id")
+    return b.nodes(spark).join(o, "address", "left").select(F.col("address").alias("node"), "object_id")
 
 
 @query(with_views("links", "nodes", "gates") + ", u AS (SELECT seq, CASE seq % 3 WHEN 0 THEN source WHEN 1 THEN target ELSE 'stranger' END AS peer FROM links) SELECT seq, CASE WHEN peer IN (SELECT address FROM nodes) THEN 'node' WHEN peer IN (SELECT address FROM gates) THEN 'gate' ELSE 'ignored' END AS goes_to FROM u")
