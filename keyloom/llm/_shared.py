@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder all executors share: `spark.checkpoint.dir`, or a temporary one where that is unset (local tests)."""
+    """The folder all executors share: `spark.checkpoint.dir`, or a temporary one where that is unset and the master local."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="keyloom-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -59,18 +61,6 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + np.repeat(starts - (ends - lengths), lengths)
 
 
-def slices(batch: pa.RecordBatch, sizes: np.ndarray, limit: int):
-    """Cut a batch into runs of rows of about `limit` bytes at most; one larger row stands alone."""
-    lo, held = 0, 0
-    for i, n in enumerate(sizes.tolist()):
-        if held and held + n > limit:
-            yield batch.slice(lo, i - lo)
-            lo, held = i, 0
-        held += n
-    if lo < batch.num_rows:
-        yield batch.slice(lo)
-
-
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of `edges` (a, b: long) as (node, root), root the smallest node; nodes without an edge are left out.
 
@@ -96,20 +86,8 @@ def components(edges: DataFrame) -> DataFrame:
         now = materialize(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
 
 
-def running_start(df: DataFrame, order: str, amount: str, out: str, block: int = 4096) -> DataFrame:
-    """Adds `out`: the sum of `amount` over rows with a smaller `order` (distinct whole numbers from 0).
-
-    Two levels of windows over blocks of `block` consecutive numbers, so no task holds more than a block or the list of blocks."""
-    from pyspark.sql import Window
-
-    b = F.floor(F.col(order) / block).alias("_block")
-    sums = df.groupBy(b).agg(F.sum(amount).alias("_all"))
-    sums = sums.select("_block", (F.sum("_all").over(Window.orderBy("_block")) - F.col("_all")).alias("_base"))
-    inner = F.sum(amount).over(Window.partitionBy("_block").orderBy(order)) - F.col(amount)
-    return df.withColumn("_block", b).join(sums, "_block").withColumn(out, F.col("_base") + inner).drop("_block", "_base")
-
-
 def bounded_batches(spark: SparkSession, rows: int = 1000, size: str = "8m") -> None:
-    """Whole texts go to Python in Arrow batches; keep these small, since one text can be large."""
+    """Whole texts go to Python in Arrow batches; keep these small, since one text can be large. Results are lazy, so the
+    session keeps these two settings."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)

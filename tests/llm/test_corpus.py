@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from keyloom.llm import decontaminate, language, licenses, media, near_copies, packing, quality, sentence_dedup, simhash, suffix_dedup, tokens, wavelet
-from keyloom.llm._shared import components, running_start
+from keyloom.llm._shared import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp string, tag string, spans string"
 
@@ -44,11 +44,6 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_running_start(spark):
-    got = running_start(spark.createDataFrame([(i, i + 1) for i in range(10)], "o long, n long"), "o", "n", "s", block=3).collect()
-    assert {r.o: r.s for r in got} == {i: i * (i + 1) // 2 for i in range(10)}
-
-
 def brute_fingerprint(text):
     words = (text or "").encode().lower().split()
     if not words:
