@@ -13,8 +13,9 @@ neighbours. Over whole documents it would take as many passes as the longest doc
    and the common prefixes are updated; a window repeats where a neighbour shares `length` symbols or more.
 
 Exact copies of whole texts are counted first; one of each stands for all. Equal pieces of one text are combined before
-they leave it. A group that more than `hot` texts share is not loaded: its windows are counted by a 128-bit digest in an
-ordinary aggregate with map-side combining.
+they leave it. The group of a gram that more than `hot` texts share is divided further: its pieces are cut by the anchor's
+place in the window, STEP places together, and grouped by all the bytes that windows of these places have in common around
+the anchor. Equal pieces of different texts are then combined in an aggregate, and only distinct ones are sorted.
 """
 
 from __future__ import annotations
@@ -30,7 +31,8 @@ from ._shared import bounded_batches, claim, materialize, ragged, text_bytes
 
 LENGTH = 400
 ANCHOR = 64
-HOT = 60_000  # most texts with one anchor gram whose pieces a task sorts
+HOT = 60_000  # texts with one anchor gram beyond which its group is divided
+STEP = 16  # places of the anchor that divided pieces keep together
 PIECES = 12_000  # pieces sorted together
 SEGMENT = 1 << 22  # windows of a text looked at together
 _POS = np.uint64((1 << 24) - 1)
@@ -259,19 +261,38 @@ def _piece_batch(out: list[list]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["h", "id", "tag", "los", "at", "n", "body"])
 
 
-def _windows(length: int):
-    """Every distinct window of a text's hot pieces with its digest and its starts, for groups that no task should load."""
+_PART = "h long, mark binary, id long, tag long, los array<long>, at int, n int, body binary"
+
+
+def _divide(length: int, anchor: int):
+    """Cuts pieces by the anchor's place in the window. A part's group is a hash of the bytes around the anchor that all its
+    windows have, its mark a digest of the whole; of equal parts that follow one another in a task only the first has a body."""
+    names = ["h", "mark", "id", "tag", "los", "at", "n", "body"]
+    kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.int32(), pa.binary()]
+    context = length - anchor
 
     def run(batches):
+        seen: set[bytes] = set()
         for batch in batches:
-            for row in range(batch.num_rows):
-                one = {c: batch.column(c)[row].as_py() for c in ("h", "id", "tag", "los", "at", "n", "body")}
-                marks: dict[bytes, list[int]] = {}
-                for s in range(one["n"]):
-                    marks.setdefault(hashlib.blake2b(b"%d %d " % (one["h"], one["at"] - s) + one["body"][s : s + length], digest_size=16).digest(), []).extend(lo + s for lo in one["los"])
-                n = len(marks)
-                arrays = [pa.array([one[c]] * n, pa.int64()) for c in ("id", "tag")] + [pa.array(list(marks.values()), pa.list_(pa.int64())), pa.array(list(marks))]
-                yield pa.RecordBatch.from_arrays(arrays, ["id", "tag", "starts", "mark"])
+            for row in batch.to_pylist():
+                out: list[list] = [[] for _ in names]
+                h, at, n, body = row["h"], row["at"], row["n"], row["body"]
+                for j in range((at - n + 1) // STEP, at // STEP + 1):
+                    first, last = max(0, at - (j + 1) * STEP + 1), min(n - 1, at - j * STEP)  # windows with the anchor at j * STEP and on
+                    if first > last:
+                        continue
+                    part = body[first : last + length]
+                    around = body[at - j * STEP : at] + b"|" + body[at + anchor : at + anchor + max(0, context - (j + 1) * STEP + 1)]
+                    group = int.from_bytes(hashlib.blake2b(b"%d %d " % (h, j) + around, digest_size=8).digest(), "little", signed=True)
+                    mark = hashlib.blake2b(b"%d %d " % (group, at - first) + part, digest_size=16).digest()
+                    fresh = mark not in seen
+                    if fresh:
+                        seen.add(mark)
+                    for column, value in zip(out, (group, mark, row["id"], row["tag"], [lo + first for lo in row["los"]], at - first, last - first + 1, part if fresh else None)):
+                        column.append(value)
+                if len(seen) > 200_000:
+                    seen.clear()
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names)
 
     return run
 
@@ -313,14 +334,16 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spans = pieces.mapInArrow(_sorted_spans(length, PIECES, keep_first), "id long, tag long, start long, end long")
     if not repeated.where(F.col("texts") > hot).isEmpty():
         big = found_in.withColumn("places", F.filter("places", lambda p: p["texts"] > hot)).where(F.size("places") > 0)
-        windows = big.mapInArrow(_cut(length), _PIECE).mapInArrow(_windows(length), "id long, tag long, starts array<long>, mark binary")
-        windows = materialize(windows, "hot-windows")
+        parts = materialize(big.mapInArrow(_cut(length), _PIECE).mapInArrow(_divide(length, anchor), _PART), "hot-pieces")
+        members = parts.select("mark", "id", "tag", "n", F.explode("los").alias("start"))
         place = F.struct("id", "tag", "start")
-        windows = windows.select("id", "tag", "mark", F.explode("starts").alias("start"))
-        twice = windows.groupBy("mark").agg(F.count("*").alias("n_all"), F.min(place).alias("head")).where("n_all > 1").select("mark", "head")
-        more = windows.join(twice, "mark").where(F.lit(not keep_first) | ~place.eqNullSafe(F.col("head"))).select("id", "tag", "start")
-        more = more.withColumn("end", F.col("start") + length)
-        spans = spans.unionByName(more)
+        groups = materialize(members.groupBy("mark").agg(F.count("*").alias("times"), F.min(place).alias("head")), "hot-groups")
+        bodies = parts.where("body is not null").groupBy("mark").agg(*[F.first(c).alias(c) for c in ("h", "at", "n", "body")])
+        one = bodies.join(groups, "mark").select("h", "head.id", "head.tag", F.array("head.start").alias("los"), "at", "n", "body")
+        one = one.repartition("h").sortWithinPartitions("h", "id", "tag", F.col("los")[0])
+        spans = spans.unionByName(one.mapInArrow(_sorted_spans(length, PIECES, keep_first), "id long, tag long, start long, end long"))
+        again = members.join(groups.where("times > 1"), "mark").where(F.lit(not keep_first) | ~place.eqNullSafe(F.col("head")))
+        spans = spans.unionByName(again.select("id", "tag", "start", (F.col("start") + F.col("n") - 1 + length).alias("end")))
     return rows, spans, copied
 
 

@@ -110,8 +110,9 @@ def brute_removed(pairs, length):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("hot", [50_000, 3])
-def test_repeated_bytes_go(spark, docs, hot):
+@pytest.mark.parametrize("hot, step", [(50_000, 16), (3, 16), (3, 4), (1, 1)])
+def test_repeated_bytes_go(spark, docs, hot, step, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "STEP", step)
     seven = docs.where("doc_id = 7").first().text  # another text with an id that stands twice already
     docs = docs.unionByName(make(spark, [(7, "ing. " + seven[:90] + " other"), (None, "ou" + seven[3:80])]))
     cut = suffix_dedup.remove_repeats(docs, length=30, anchor=8, hot=hot)
@@ -119,8 +120,9 @@ def test_repeated_bytes_go(spark, docs, hot):
     assert sorted(got, key=str) == brute_removed([(r.doc_id, r.text) for r in docs.collect()], 30)
 
 
-@pytest.mark.parametrize("hot", [50_000, 3])
-def test_all_but_the_first_occurrence_go(spark, docs, hot):
+@pytest.mark.parametrize("hot, step", [(50_000, 16), (3, 5), (1, 2)])
+def test_all_but_the_first_occurrence_go(spark, docs, hot, step, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "STEP", step)
     some = docs.where("doc_id is null or doc_id <> 7")  # ids stand once
     twice = "a passage that this text holds three times. "
     some = some.unionByName(make(spark, [(950, twice * 3 + "end"), (951, "other " + twice)]))
