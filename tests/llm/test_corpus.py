@@ -171,6 +171,54 @@ def test_best_two_fit():
     assert packing.plan_bins({}, 10) == ([], 0)
 
 
+def test_bins_are_nearly_the_fewest():
+    r = random.Random(5)
+
+    def fewest(sizes, capacity):  # over subsets: bins used and the room taken in the last
+        best = {0: (1, 0)}
+        for mask in range(1 << len(sizes)):
+            bins, held = best[mask]
+            for i, n in enumerate(sizes):
+                if not mask >> i & 1:
+                    new = (bins, held + n) if held + n <= capacity else (bins + 1, n)
+                    best[mask | 1 << i] = min(best.get(mask | 1 << i, (99, 0)), new)
+        return best[(1 << len(sizes)) - 1][0]
+
+    excess = 0
+    for _ in range(60):
+        sizes = [r.randint(1, 14) for _ in range(r.randint(1, 9))]
+        slots, bins = packing.plan_bins(dict(Counter(sizes)), 20)
+        excess += bins - fewest(sizes, 20)
+        assert fewest(sizes, 20) <= bins <= fewest(sizes, 20) + 1
+    assert excess <= 3
+
+
+def test_very_long_texts_are_encoded_whole(spark):
+    r = random.Random(6)
+    parts = ["th", "re", "on", "ér", "a", "ing", " ", ", ", ". ", "\n", "x1", "名"]
+    long = "".join(r.choices(parts, k=900_000))
+    docs = make(spark, [(1, long), (2, "short"), (3, None)])
+    for name, style, end, run in (("byte_bpe_50k.json", "byte", 0, lambda: packing.pack_documents(docs)[0]), ("word_bpe_49k.json", "word", 2, lambda: wavelet.read_documents(wavelet.write_shards(docs)))):
+        tok = tokens.encoder(tokens.public_path(name), style).tokenizer
+        ids = np.array([*tok.encode(long, add_special_tokens=False).ids, end], "<u4")
+        rows = run().collect()
+        if style == "word":
+            assert [(x.n_tokens, x.ids_crc32, x.last_id) for x in rows if x.doc_id == 1] == [(len(ids), zlib.crc32(ids.tobytes()), 2)]
+        else:
+            mine = sorted((x.piece, x.start, x.length, bytes(x.ids)) for x in rows if x.id == 1)
+            assert b"".join(x[3] for x in mine) == ids.tobytes() and all(x[2] == 2048 for x in mine[1:])
+
+
+def test_repeats_across_segments_of_a_long_text(spark):
+    rng = np.random.default_rng(8)
+    body = rng.integers(97, 123, suffix_dedup.SEGMENT + 300_000).astype(np.uint8).tobytes().decode()
+    passage = rng.integers(97, 123, 500).astype(np.uint8).tobytes().decode()
+    at = suffix_dedup.SEGMENT - 230
+    docs = make(spark, [(1, body[:at] + passage + body[at:]), (2, f"start {passage} end" + "." * 300)])
+    got = {r.doc_id: r for r in suffix_dedup.remove_repeats(docs).collect()}
+    assert got[1].n_spans == got[2].n_spans == 1 and 500 <= got[1].n_removed == got[2].n_removed < 510
+
+
 def test_chunks_encode_as_whole_texts():
     texts = ["", " ", "a  b \n c", "x\ty z ", "don't  WE'LL ", "é́ é x", "\n\na", "b <|endoftext|> q", "Σας ΣΑΣ. x", "a\x1cb \x1c c", "12 5  7", "Ünï-ß ***x"]
     for name, style in (("byte_bpe_50k.json", "byte"), ("word_bpe_49k.json", "word")):
