@@ -228,3 +228,29 @@ def q11_recent_share(spark, sf_dir):
     newest = r.agg(F.max("created_us")).first()[0] or 0
     c = r.where(F.col("created_us") > newest - 90 * 86_400_000_000).groupBy("status").agg(F.count("*").alias("n"))
     return c.withColumn("share", F.round(F.lit(100.0) * F.col("n") / F.sum("n").over(Window.partitionBy()), 2))  # a row for each status
+
+
+@query(with_views("call_log") + "SELECT seq, CASE status WHEN 'pending' THEN 1 WHEN 'success' THEN 2 WHEN 'failed' THEN 3 WHEN 'skipped' THEN 4 ELSE 0 END AS code FROM call_log")
+def p16_status_codes(spark, sf_dir):
+    """Numbers of statuses; an unknown text is 0."""
+    codes = F.create_map(*[F.lit(x) for pair in (("pending", 1), ("success", 2), ("failed", 3), ("skipped", 4)) for x in pair])
+    return b.call_log(spark, sf_dir).select("seq", F.coalesce(F.try_element_at(codes, "status"), F.lit(0)).alias("code"))
+
+
+@query(with_views("objects") + "SELECT object_id, c_custkey AS key, c_acctbal AS balance, c_nationkey AS nation, c_nationkey = 0 AS omitted FROM objects")
+def p13_json_round_trip(spark, sf_dir):
+    """State saved as JSON with 64-bit numbers as text and zeros left out, and read back."""
+    o = b.objects(spark, sf_dir).select("object_id", "c_custkey", F.from_json("data", "balance double, nation int").alias("d"))
+    saved = F.to_json(F.struct(F.col("c_custkey").cast("string").alias("key"), F.col("d.balance").alias("balance"), F.expr("nullif(d.nation, 0)").alias("nation")))
+    read = F.from_json("saved", "key string, balance double, nation int")
+    o = o.select("object_id", saved.alias("saved")).withColumn("r", read)
+    return o.select("object_id", F.col("r.key").cast("long").alias("key"), F.col("r.balance").alias("balance"), F.coalesce("r.nation", F.lit(0)).alias("nation"), F.get_json_object("saved", "$.nation").isNull().alias("omitted"))
+
+
+@query("WITH last AS (SELECT conv_id, max(turn) AS turn, arg_max(role, turn) AS role, count(*) AS n FROM conversations GROUP BY 1) SELECT conv_id AS room, role AS last_role, turn AS last_turn, n FROM last")
+def k15_nested_state(spark, sf_dir):
+    """A room's state as nested JSON, and fields taken out of it."""
+    c = b.table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.max("turn").alias("turn"), F.max_by("role", "turn").alias("role"), F.count("*").alias("n"))
+    state = F.to_json(F.named_struct(F.lit("room"), F.col("conv_id"), F.lit("last"), F.named_struct(F.lit("turn"), F.col("turn"), F.lit("role"), F.col("role")), F.lit("n"), F.col("n")))
+    c = c.select(state.alias("s"))
+    return c.select(F.get_json_object("s", "$.room").cast("long").alias("room"), F.get_json_object("s", "$.last.role").alias("last_role"), F.get_json_object("s", "$.last.turn").cast("long").alias("last_turn"), F.get_json_object("s", "$.n").cast("long").alias("n"))

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import ids
-from ..operators import metrics
+from ..operators import metrics, store
 from ..plans import placement
 from ..register import SHARD, query
 from ..sources import bindings as b
@@ -156,3 +156,35 @@ def z11_connection_updates(spark, sf_dir):
 @query(with_views("calls") + "SELECT object_id, count(*) AS calls, round(least(2.0::double + count(*) / 10.0::double, 10.0::double), 6) AS width FROM calls GROUP BY 1")
 def p20_link_width(spark, sf_dir):
     return b.calls(spark, sf_dir).groupBy("object_id").agg(F.count("*").alias("calls")).withColumn("width", F.round(ids.link_width(2.0, F.col("calls")), 6))
+
+
+@query(with_views("shards") + ", n AS (SELECT target_node AS address, count(*) AS n FROM shards WHERE shard_id % 5 <> 0 OR target_node <> 'node-2' GROUP BY 1) SELECT arg_min(address, (-n, address)) AS fullest, arg_min(address, (n, address)) AS emptiest FROM n")
+def o7_fullest_and_emptiest(spark, sf_dir):
+    """The nodes with most and fewest shards; of equal ones the first by name."""
+    n = b.shards(spark).where("shard_id % 5 <> 0 or target_node <> 'node-2'").groupBy(F.col("target_node").alias("address")).agg(F.count("*").alias("n"))
+    return n.agg(F.min_by("address", F.struct(-F.col("n"), F.col("address"))).alias("fullest"), F.min_by("address", F.struct("n", "address")).alias("emptiest"))
+
+
+@query(with_views("calls") + "SELECT object_type, string_agg(method, ',' ORDER BY method) AS methods, arg_max(method, (n, method)) AS most FROM (SELECT object_type, method, count(*) AS n FROM calls GROUP BY ALL) GROUP BY 1")
+def k13_methods_of_types(spark, sf_dir):
+    """A type's calls by method as a map: its sorted keys, and the key of its largest value."""
+    n = b.calls(spark, sf_dir).groupBy("object_type", "method").agg(F.count("*").alias("n"))  # a few methods
+    m = n.groupBy("object_type").agg(F.map_from_entries(F.collect_list(F.struct("method", "n"))).alias("m"))
+    largest = F.array_max(F.transform(F.map_entries("m"), lambda e: F.struct(e["value"], e["key"].alias("method"))))
+    return m.select("object_type", F.array_join(F.array_sort(F.map_keys("m")), ",").alias("methods"), largest["method"].alias("most"))
+
+
+@query("""WITH e AS (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'gate-' ELSE 'node-' END || (user_id % 40) AS address, CASE WHEN event_type = 'error' THEN 'DELETE' ELSE 'PUT' END AS op FROM events)
+  SELECT address, last_event FROM (SELECT address, max(event_id) AS last_event, arg_max(op, event_id) AS op FROM e GROUP BY 1) WHERE op = 'PUT'""")
+def r12_members(spark, sf_dir):
+    """Nodes and gates that are there after a log of puts and deletes, which are trusted in order of arrival."""
+    i = F.col("event_id")
+    e = b.table(spark, sf_dir, "events").select(F.concat(F.when(i % 3 == 0, "gate-").otherwise("node-"), F.col("user_id") % 40).alias("address"), i.alias("last_event"), F.when(F.col("event_type") == "error", "DELETE").otherwise("PUT").alias("op"))
+    return store.latest_state(e, "address", "last_event").select("address", "last_event")
+
+
+@query(with_views("shard_events") + """, e AS (SELECT shard, mod_revision, current_node FROM shard_events WHERE mod_revision % 9 = 0) SELECT arg_max(current_node, mod_revision) AS leader, max(mod_revision) AS revision FROM e""")
+def r12_leader(spark, sf_dir):
+    """The leader is the value of the highest revision, whatever the order of arrival."""
+    e = b.shard_events(spark, sf_dir).where("mod_revision % 9 = 0")
+    return e.agg(F.max_by("current_node", "mod_revision").alias("leader"), F.max("mod_revision").alias("revision"))

@@ -8,6 +8,8 @@ from typing import NamedTuple
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Parts of messages that tell of a lost connection.
+LOST = ("connection refused", "connection reset", "broken pipe", "no such host", "network is unreachable", "client not connected")
 LEVELS = ("ALLOW", "INTERNAL", "EXTERNAL", "REJECT")
 
 
@@ -75,9 +77,8 @@ def node_may(access: Column) -> Column:
 
 def error_kind(message: Column) -> Column:
     """timeout, connection_error or other: whole messages first, then parts of them, in this order."""
-    lost = ("connection refused", "connection reset", "broken pipe", "no such host", "network is unreachable", "client not connected")
     out = F.when(message.isin("context deadline exceeded", "context canceled"), "timeout")
-    for part in lost:
+    for part in LOST:
         out = out.when(message.contains(part), "connection_error")
     return out.when(message.contains("deadline exceeded"), "timeout").otherwise("other")
 

@@ -254,11 +254,14 @@ def c9_shard_owner(spark, sf_dir):
     return wanted.join(F.broadcast(owners), wanted["shard"] == owners["shard_id"], "left").select("shard", route.alias("owner"))  # 8,192 rows
 
 
-@query(with_views("shards", "nodes") + "SELECT bool_and(target_node <> '') AS all_assigned, bool_and(current_node <> '') AS all_claimed, count(*) = 8192 AS complete, (SELECT count(*) FROM nodes WHERE alive) >= 3 AS quorum FROM shards")
+@query(with_views("shards", "nodes") + ", r AS (SELECT max(mod_revision) <> 0 AS seen, bool_and(target_node <> '') AS all_assigned, bool_and(current_node <> '') AS all_claimed, count(*) = 8192 AS complete, bool_and(target_node = current_node) AS matching, (SELECT count(*) FROM nodes WHERE alive) >= 3 AS quorum FROM shards) SELECT *, seen AND all_assigned AND all_claimed AND complete AND quorum AS ready FROM r")
 def c10_readiness(spark, sf_dir):
-    quorum = b.nodes(spark).where("alive").agg((F.count("*") >= 3).alias("quorum"))
-    s = b.shards(spark).agg(F.bool_and(F.col("target_node") != "").alias("all_assigned"), F.bool_and(F.col("current_node") != "").alias("all_claimed"), (F.count("*") == 8192).alias("complete"))
-    return s.crossJoin(quorum)  # one row each
+    """Ready: a revision was seen, a quorum of nodes is there, all shards have target and owner; `matching` if they are the same."""
+    quorum = b.nodes(spark).where("alive").count() >= 3
+    target, owner = F.col("target_node"), F.col("current_node")
+    s = b.shards(spark).agg((F.max("mod_revision") != 0).alias("seen"), F.bool_and(target != "").alias("all_assigned"), F.bool_and(owner != "").alias("all_claimed"), (F.count("*") == 8192).alias("complete"), F.bool_and(target == owner).alias("matching"))
+    s = s.withColumn("quorum", F.lit(quorum))
+    return s.withColumn("ready", F.col("seen") & F.col("all_assigned") & F.col("all_claimed") & F.col("complete") & F.col("quorum"))
 
 
 @query(with_views("nodes", "shards") + "SELECT coalesce(n.address, c.address) AS address, n.configured AND n.alive AS healthy, coalesce(n.leader, false) AS leader, coalesce(owned, 0) AS owned FROM nodes n FULL JOIN (SELECT current_node AS address, count(*) AS owned FROM shards GROUP BY 1) c ON n.address = c.address")
