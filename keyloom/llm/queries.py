@@ -78,4 +78,24 @@ QUERIES = {
     "op10_language_id": op10_language_id,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_OP2 = r"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM documents), b AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM benchmark),
+  i AS (SELECT DISTINCT item_id, least(len(w), 5) AS k, array_to_string(w[n:n + least(len(w), 5) - 1], ' ') AS gram FROM b, LATERAL (SELECT unnest(range(1, greatest(len(w) - least(len(w), 5), 0) + 2)) AS n) WHERE len(w) > 0),
+  s AS (SELECT item_id, count(*) AS n_item FROM i GROUP BY 1),
+  g AS (SELECT DISTINCT doc_id, k, array_to_string(w[n:n + k - 1], ' ') AS gram FROM w, (SELECT DISTINCT k FROM i) q, LATERAL (SELECT unnest(range(1, len(w) - k + 2)) AS n) WHERE len(w) >= k),
+  f AS (SELECT doc_id, item_id, count(*) AS n_shared FROM g JOIN i USING (k, gram) GROUP BY ALL)
+  SELECT doc_id, item_id, n_shared, n_item, n_shared::double / n_item AS containment FROM f JOIN s USING (item_id) WHERE n_shared >= 0.8::double * n_item"""
+
+_OP8 = r"""WITH t AS (SELECT doc_id, list_filter(regexp_extract_all(coalesce(text, ''), '[^.!?,;:\n]*(?:[.!?,;:]+|\n|$)\s*'), lambda s: s <> '') AS parts FROM documents),
+  p AS (SELECT doc_id, unnest(parts) AS part, unnest(range(0, len(parts))) AS n FROM t),
+  q AS (SELECT doc_id, n, part, trim(regexp_replace(lower(part), '\s+', ' ', 'g')) AS plain FROM p),
+  c AS (SELECT doc_id, n, part, plain, CASE WHEN plain = '' THEN 0 ELSE len(string_split(plain, ' ')) END AS words, coalesce(sum(CASE WHEN plain = '' THEN 0 ELSE len(string_split(plain, ' ')) END) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM q),
+  e AS (SELECT a.doc_id, a.n AS a, min(b.n) + 1 AS b FROM c a JOIN c b ON b.doc_id = a.doc_id AND b.n BETWEEN a.n + 1 AND a.n + 27 AND b.before + b.words - a.before >= 25 GROUP BY ALL),
+  r AS (SELECT * FROM e UNION ALL SELECT doc_id, 0, count(*) FROM c WHERE doc_id NOT IN (SELECT doc_id FROM e) GROUP BY doc_id HAVING sum(words) > 0),
+  m AS (SELECT r.doc_id, r.a, r.b, string_agg(c.plain, chr(10) ORDER BY c.n) AS run FROM r JOIN c ON c.doc_id = r.doc_id AND c.n >= r.a AND c.n < r.b GROUP BY ALL),
+  l AS (SELECT doc_id, a, b FROM m QUALIFY row_number() OVER (PARTITION BY run ORDER BY doc_id, a) > 1),
+  g AS (SELECT DISTINCT c.doc_id, c.n FROM l JOIN c ON c.doc_id = l.doc_id AND c.n >= l.a AND c.n < l.b)
+  SELECT t.doc_id, len(t.parts)::bigint AS n_sentences, count(g.n) AS n_removed, sha256(coalesce(string_agg(c.part, '' ORDER BY c.n) FILTER (g.n IS NULL), '')) AS kept_sha256
+  FROM t LEFT JOIN c ON c.doc_id = t.doc_id LEFT JOIN g ON g.doc_id = c.doc_id AND g.n = c.n GROUP BY t.doc_id, t.parts"""
+
+#: The other operators hash, tokenize, train or pack, which SQL does not express. Ids of documents stand once.
+ORACLE_SQL = {"op2_benchmark_leaks": _OP2, "op8_sentence_spans": _OP8}

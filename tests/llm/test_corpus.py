@@ -654,6 +654,21 @@ def test_license_query_inherits_over_levels(spark):
     assert {1, 2, 3} <= set(levels)
 
 
+@pytest.mark.parametrize("name", ["op2_benchmark_leaks", "op8_sentence_spans"])
+def test_corpus_query_equals_sql(spark, name):
+    import duckdb
+
+    from keyloom.llm import queries
+
+    sf, con = "/root/testdata/sf0.01", duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    got, want = queries.QUERIES[name](spark, sf).toPandas(), con.sql(queries.ORACLE_SQL[name]).df()
+    columns = sorted(got.columns)
+    assert columns == sorted(want.columns) and len(got) > 0
+    assert sorted(map(tuple, got[columns].values.tolist())) == sorted(map(tuple, want[columns].values.tolist()))
+
+
 def test_sentence_query_cuts_short_copies(spark):
     from keyloom.llm import queries
 
