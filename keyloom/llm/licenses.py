@@ -55,6 +55,13 @@ def _words(line: str) -> list[str]:
     return _WORD.findall(line.lower())
 
 
+def _merged(counts: list[Counter]) -> Counter:
+    out: Counter = Counter()
+    for c in counts:
+        out.update(c)
+    return out
+
+
 class Matcher:
     """Template vectors under given line frequencies of their words."""
 
@@ -100,7 +107,7 @@ class Matcher:
 
         def close():
             if len(block) > 1:
-                look(sum(block, Counter()))
+                look(_merged(block))
             block.clear()
 
         for line in text.split("\n"):
@@ -115,7 +122,7 @@ class Matcher:
                 close()
         close()
         if whole and len(every) > 1:
-            look(sum(every, Counter()))
+            look(_merged(every))
         return found, min(top, 1.0)
 
 
